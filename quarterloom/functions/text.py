@@ -24,6 +24,7 @@ SECTION_PATTERNS = (
     "(?:next|first) question[^.?!]{0,40}from |your line is open|line is open",
 )
 SECTION_FROM, SECTION_TO = 0.15, 0.95
+_FROM, _TO = "\ufdd0", "\ufdd1"
 
 # Fixed values of the older, simpler path: split markers in order, plain words, figure patterns.
 PLAIN_MARKERS = (
@@ -94,21 +95,19 @@ def score_columns(words: str, lexicons: Mapping[str, Iterable[str]], suffix: str
 def section_start(text: str, patterns: Iterable[str] = SECTION_PATTERNS, low: float = SECTION_FROM, high: float = SECTION_TO) -> Column:
     """T5: the offset, in code points from 0, of the first marker at a plausible place; patterns go by priority.
 
-    The starts of all matches come from the pieces between them: a match begins where the pieces and matches before it end.
+    Each pattern is run once: it marks off its matches with two characters that no text may hold. A match then begins where
+    the pieces before it end.
     """
     size = f"length(`{text}`)"
     found = []
     for pattern in patterns:
-        p = sql_text("(?iu)" + pattern)
-        matches, pieces = f"regexp_extract_all(`{text}`, {p}, 0)", f"split(`{text}`, {p}, -1)"
+        marked = f"split(regexp_replace(`{text}`, {sql_text('(?iu)' + pattern)}, '{_FROM}$0{_TO}'), '{_FROM}', -1)"
+        # Of each piece but the first, what stands before the closing mark is the match; the sums leave the marks out.
         starts = (
-            f"aggregate(arrays_zip({pieces} as p, {matches} as m), named_struct('at', 0, 'all', cast(array() as array<int>)), "
-            "(s, x) -> named_struct('at', s.at + length(x.p) + coalesce(length(x.m), 0), "
-            "'all', if(x.m is null, s.all, concat(s.all, array(s.at + length(x.p))))), s -> s.all)"
+            f"aggregate({marked}, named_struct('at', 0, 'all', cast(array() as array<int>)), "
+            f"(s, x) -> named_struct('at', s.at + length(x) - if(instr(x, '{_TO}') > 0, 1, 0), 'all', concat(s.all, array(s.at))), s -> slice(s.all, 2, greatest(size(s.all) - 1, 0)))"
         )
-        inside = f"get(filter({starts}, k -> k >= {low}D * {size} and k <= {high}D * {size}), 0)"
-        # A text without the pattern needs no positions.
-        found.append(f"if(`{text}` rlike {p}, {inside}, null)")
+        found.append(f"get(filter({starts}, k -> k >= {low}D * {size} and k <= {high}D * {size}), 0)")
     return F.expr(f"if({size} = 0, null, coalesce({', '.join(found)}))")
 
 
