@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterloom.llm import garble, survivors, truncation
+from quarterloom.llm import garble, survivors, truncation, turns
 from quarterloom.sources import table
 
 _TEXTS = (("corpus", "corpus_id"), ("recent_corpus", "recent_id"))
@@ -26,6 +26,16 @@ def _named(name: str, df: DataFrame) -> DataFrame:
     return df.select(F.lit(name).alias("rec_table"), *(F.col(c) for c in df.columns))
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    found = turns.speaker_turns(table(spark, folder, "recent_corpus"), table(spark, folder, "call_speakers"), with_text=False)
+    return found.select("recent_id", "turn_no", "speaker")
+
+
+def p2_turns(spark: SparkSession, folder: str) -> DataFrame:
+    """Every turn with its cleaned speech."""
+    return turns.speaker_turns(table(spark, folder, "recent_corpus"), table(spark, folder, "call_speakers"))
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return survivors.call_survivors(table(spark, folder, "corpus"), table(spark, folder, "call_feeds"))
 
