@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterloom.llm import garble, survivors, truncation, turns
+from quarterloom.llm import garble, survivors, tokenizer, truncation, turns
 from quarterloom.sources import table
 
 _TEXTS = (("corpus", "corpus_id"), ("recent_corpus", "recent_id"))
@@ -78,5 +78,9 @@ def p5_restored(spark: SparkSession, folder: str) -> DataFrame:
     return _union([_named(name, garble.garbled_records(table(spark, folder, name), key, "transcript")) for name, key in _TEXTS])
 
 
+def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
+    return tokenizer.encoded(table(spark, folder, "documents"), "doc_id", "text")
+
+
 QUERIES = {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 ORACLE: dict[str, str] = {}
