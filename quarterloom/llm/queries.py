@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterloom.llm import garble, survivors, tokenizer, truncation, turns
+from quarterloom.llm import garble, languages, survivors, tokenizer, truncation, turns
 from quarterloom.sources import table
 
 _TEXTS = (("corpus", "corpus_id"), ("recent_corpus", "recent_id"))
@@ -82,5 +82,14 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encoded(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p8_found(spark: SparkSession, folder: str) -> DataFrame:
+    return languages.label_errors(table(spark, folder, "documents"))
+
+
+def p8_segments(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's segments with language and confidence."""
+    return languages.language_segments(table(spark, folder, "documents"))
+
+
 QUERIES = {name: f for name, f in globals().items() if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 ORACLE: dict[str, str] = {}
