@@ -34,7 +34,7 @@ BUCKETS = 8192
 #: Labelled documents per language for the fit, and sentences per document, on average, that the machines take.
 SAMPLE, SENTENCES = 250, 3
 #: A sentence counts for a language of its own from so many letters and this confidence on.
-LETTERS, CERTAIN = 18, 0.6
+LETTERS, CERTAIN = 18, 0.9
 _SPLIT = re.compile(r"\n+|(?<=[。！？])|(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"'“‘«(¿¡]*[^\W_a-zß-ÿ])")
 _SHORT = re.compile(r"(?:\b(?:Mio|Mrd|Inc|Ltd|Co|Corp|Nr|No|Mr|Mrs|Ms|Dr|St|bzw|vs|ca|approx|[A-Z])\.)\s*$")
 _SPEAKER = re.compile(r"^\s*(?:Analyst|Company|Operator|Q|A)\s*:\s*")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarterloom.llm import garble, languages, survivors, tokenizer, truncation, turns
+from quarterloom.llm import garble, languages, leaks, survivors, tokenizer, truncation, turns
 from quarterloom.sources import table
 
 _TEXTS = (("corpus", "corpus_id"), ("recent_corpus", "recent_id"))
@@ -82,6 +82,17 @@ def p6_ids(spark: SparkSession, folder: str) -> DataFrame:
     return tokenizer.encoded(table(spark, folder, "documents"), "doc_id", "text")
 
 
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id")
+
+
+def p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    """The items that leaked, into how many documents, and the largest part found."""
+    found = leaks.leaked(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+    named = table(spark, folder, "eval_items").select("item_id", "task", "split")
+    return found.groupBy("item_id").agg(F.count("*").alias("n_docs"), F.max("share").alias("max_share")).join(named, "item_id")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return languages.label_errors(table(spark, folder, "documents"))
 
