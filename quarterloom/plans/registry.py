@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarterloom.plans import time_queries
+from quarterloom.plans import text_queries, time_queries
 
-_MODULES = (time_queries,)
+_MODULES = (text_queries, time_queries)
 
 
 def queries() -> dict:
