@@ -48,13 +48,15 @@ def words(text: str | None) -> list[str]:
 class Items:
     """The items' words and the places of their seeds."""
 
-    def __init__(self, items: list[tuple[int, str | None]]):
+    def __init__(self, items: list[tuple[int, str | None]], seeds: set[str] | None = None):
+        """seeds: if given, the runs that count, found elsewhere; else those that few of the items have."""
         self.words = {key: words(text) for key, text in items}
         places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
         for key, said in self.words.items():
             for i in range(len(said) - RUN + 1):
                 places[tuple(said[i : i + RUN])].append((key, i))
-        self.seeds = {run: at for run, at in places.items() if len({key for key, _ in at}) <= RARE}
+        rare = lambda run, at: " ".join(run) in seeds if seeds is not None else len({key for key, _ in at}) <= RARE
+        self.seeds = {run: at for run, at in places.items() if rare(run, at)}
         # Most positions of a document end here, at their first two words.
         self.starts = {run[:2] for run in self.seeds}
 
@@ -166,13 +168,16 @@ def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: st
     return _joined(rows, tests)
 
 
-def _runs_of(name: str, key: str, text: str):
+def _runs_of(name: str, key: str, text: str, every: bool):
+    """(name, run) of each text: every run, or each once."""
+
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys, found = [], []
             for one, value in zip(batch.column(key).to_pylist(), batch.column(text), strict=True):
                 said = words(value.as_py())
-                for run in {" ".join(said[i : i + RUN]) for i in range(len(said) - RUN + 1)}:
+                all_runs = [" ".join(said[i : i + RUN]) for i in range(len(said) - RUN + 1)]
+                for run in all_runs if every else set(all_runs):
                     keys.append(one)
                     found.append(run)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=[name, "run"])
@@ -182,18 +187,19 @@ def _runs_of(name: str, key: str, text: str):
 
 def _joined(rows: DataFrame, tests: DataFrame) -> DataFrame:
     """The way for item sets of any size: seeds meet in a join, pairs with enough of them are aligned one by one."""
-    seeds = tests.mapInArrow(_runs_of("item_id", "item_id", "item_text"), "item_id bigint, run string")
+    seeds = tests.mapInArrow(_runs_of("item_id", "item_id", "item_text", True), "item_id bigint, run string").groupBy("item_id", "run").agg(F.count("*").alias("__times"))
     rare = seeds.groupBy("run").agg(F.count("*").alias("__n")).where(F.col("__n") <= RARE).select("run")
-    seeds = seeds.join(rare, "run").select(F.xxhash64("run").alias("h"), "item_id")
-    runs = rows.mapInArrow(_runs_of("doc_id", "doc_id", "__text"), "doc_id bigint, run string").select(F.xxhash64("run").alias("h"), "doc_id")
-    pairs = runs.join(seeds, "h").groupBy("doc_id", "item_id").agg(F.count("*").alias("__n")).where(F.col("__n") >= LEAST_SEEDS).select("doc_id", "item_id")
+    seeds = seeds.join(rare, "run").select(F.xxhash64("run").alias("h"), "item_id", "run", "__times")
+    runs = rows.mapInArrow(_runs_of("doc_id", "doc_id", "__text", False), "doc_id bigint, run string").select(F.xxhash64("run").alias("h"), "doc_id")
+    # A pair's shared seeds are at most the words of its item.
+    pairs = runs.join(seeds, "h").groupBy("doc_id", "item_id").agg(F.collect_set("run").alias("seeds"), F.sum("__times").alias("__n")).where(F.col("__n") >= LEAST_SEEDS).drop("__n")
     both = pairs.join(tests, "item_id").join(rows, "doc_id")
 
     def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple] = []
             for row in batch.to_pylist():
-                out.extend((row["doc_id"], *one) for one in Items([(row["item_id"], row["item_text"])]).found(row["__text"]))
+                out.extend((row["doc_id"], *one) for one in Items([(row["item_id"], row["item_text"])], set(row["seeds"])).found(row["__text"]))
             columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "share", "alike"])
