@@ -50,6 +50,7 @@ SILENCE = peg.compiled(peg.many(peg.choice(ANNOTATION, STAMP, rf"(?:{SOUNDS})\b(
 _BARE = peg.compiled(ANNOTATION)
 _FILLER = re.compile(rf"(?:(?<=\s)[-–—] (?:{SOUNDS}|{FILLERS}) [-–—](?=\s)|\b(?:{SOUNDS})\b(?:\.\.\.|…|,)?|(?<=\s)(?:{FILLERS})(?:\.\.\.|…)|(?<=[\s,])(?:you know|i mean|sort of),?(?=\s))", re.I)
 _NOTE = re.compile(rf"\s*(?:^|\n|(?<=[.?!] ))(?:{NOTES})\.?\s*$", re.I)
+_NOTE_LINE = re.compile(rf"(?:{NOTES})s?\.?", re.I)
 _LIST = re.compile(r"\n\s*(?:call |conference )?participants:?\s*\n[\s\S]*$", re.I)
 
 # Heads of turns at the start of a line.
@@ -94,7 +95,7 @@ def heads(text: str) -> list[tuple[str | None, str]]:
             # What a heading is followed by, up to the next head, is no speech; in lists of people there is none.
             out.append((None, []))
             continue
-        if "-->" in line and CUE.match(bare):
+        if "-->" in line and CUE.match(bare) or len(bare) < 60 and _NOTE_LINE.fullmatch(bare):
             continue
         if name_lines:
             if len(bare) <= 90 and not _ENDS.search(bare) and "[" not in bare[:1]:
