@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +38,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return folder or context._jsc.sc().getCheckpointDir().get()
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers, once per context, so that they need no path of their own to it."""
+    context = spark.sparkContext
+    if getattr(context, "_quarterloom_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(), "quarterloom.zip")
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
+        for folder, _, files in os.walk(root):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    archive.write(full, os.path.relpath(full, os.path.dirname(root)))
+    context.addPyFile(path)
+    context._quarterloom_shipped = True
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the shared folder, which outlives any executor."""
     checkpoint_folder(df.sparkSession)
