@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The token pattern, the negators and the look-back.
@@ -58,38 +58,46 @@ def tokens(text: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(F.col(text) if isinstance(text, str) else text), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
-def count_terms(words: str, terms: Iterable[str]) -> tuple[Column, Column]:
-    """T3 on an array column of tokens: the terms counted and those put aside because a negator stands up to three tokens before."""
-    chosen, negators = sql_list(terms), sql_list(NEGATORS)
+def term_places(words: str, terms: Iterable[str]) -> Column:
+    """The positions of terms in an array column of tokens, from 0; null for null."""
+    chosen = sql_list(terms)
     if not chosen:
-        return F.expr(f"if(`{words}` is null, null, 0L)"), F.expr(f"if(`{words}` is null, null, 0L)")
-    # One pass: the positions of terms, then a look at the slice before each.
-    hits = f"filter(transform(`{words}`, (t, i) -> if(t in ({chosen}), i, -1)), i -> i >= 0)"
-    negated = f"exists(slice(`{words}`, greatest(1, i - {LOOK_BACK - 1}), least(i, {LOOK_BACK})), w -> w in ({negators}))"
-    put_aside = f"cast(size(filter({hits}, i -> i > 0 and {negated})) as bigint)"
-    return (
-        F.expr(f"if(`{words}` is null, null, cast(size({hits}) as bigint) - {put_aside})"),
-        F.expr(f"if(`{words}` is null, null, {put_aside})"),
-    )
+        return F.expr(f"if(`{words}` is null, null, cast(array() as array<int>))")
+    return F.expr(f"filter(transform(`{words}`, (t, i) -> if(t in ({chosen}), i, -1)), i -> i >= 0)")
 
 
-def density(count: Column | str, total: Column | str) -> Column:
-    """T4: per 100 tokens; null without tokens."""
-    count, total = (F.col(c) if isinstance(c, str) else c for c in (count, total))
-    return F.try_divide(count.cast("double"), total.cast("double")) * F.lit(100.0)
+def negated_places(words: str, places: str) -> Column:
+    """How many of the positions have a negator among the three tokens before."""
+    negated = f"exists(slice(`{words}`, greatest(1, i - {LOOK_BACK - 1}), least(i, {LOOK_BACK})), w -> w in ({sql_list(NEGATORS)}))"
+    return F.expr(f"if(`{words}` is null, null, cast(size(filter(`{places}`, i -> i > 0 and {negated})) as bigint))")
+
 
+def with_scores(df: DataFrame, words: str, lexicons: Mapping[str, Iterable[str]], suffix: str, main: str = "uncertainty", keep: list[str] | None = None) -> DataFrame:
+    """All metric columns of one tokenised text beside the columns to keep.
 
-def score_columns(words: str, lexicons: Mapping[str, Iterable[str]], suffix: str, main: str = "uncertainty") -> list[Column]:
-    """All metric columns of one tokenised text. ``words`` is an array column made in an earlier select."""
+    Positions, then counts, each go through a generator of one row: the optimizer would otherwise repeat the
+    expressions of one step in every use by the next.
+    """
+    keep = [c for c in df.columns if c != words] if keep is None else keep
+    places = F.struct(*(term_places(words, terms).alias(f"__p_{c}") for c, terms in lexicons.items()))
+    one = df.select("*", F.inline(F.array(places)))
+    aside = F.struct(*(negated_places(words, f"__p_{c}").alias(f"__x_{c}") for c in lexicons))
+    two = one.select("*", F.inline(F.array(aside)))
     total = F.expr(f"if(`{words}` is null, null, cast(size(`{words}`) as bigint))")
-    out = [total.alias(f"total_tokens_{suffix}")]
-    for category, terms in lexicons.items():
-        count, aside = count_terms(words, terms)
+    out = [*(F.col(f"`{c}`") for c in keep), total.alias(f"total_tokens_{suffix}")]
+    for category in lexicons:
+        count = F.when(F.col(words).isNotNull(), F.size(f"__p_{category}").cast("bigint") - F.col(f"__x_{category}"))
         out.append(count.alias(f"{category}_count_{suffix}"))
         if category == main:
-            out.append(aside.alias(f"negation_excluded_{suffix}"))
+            out.append(F.col(f"__x_{category}").alias(f"negation_excluded_{suffix}"))
         out.append(density(count, total).alias(f"{category}_density_{suffix}"))
-    return out
+    return two.select(*out)
+
+
+def density(count: Column | str, total: Column | str) -> Column:
+    """T4: per 100 tokens; null without tokens."""
+    count, total = (F.col(c) if isinstance(c, str) else c for c in (count, total))
+    return F.try_divide(count.cast("double"), total.cast("double")) * F.lit(100.0)
 
 
 def section_start(text: str, patterns: Iterable[str] = SECTION_PATTERNS, low: float = SECTION_FROM, high: float = SECTION_TO) -> Column:

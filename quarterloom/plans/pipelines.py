@@ -12,6 +12,7 @@ from quarterloom.functions.scalars import quarter_index
 from quarterloom.operators import panel as P
 from quarterloom.operators import returns as R
 from quarterloom.operators import stats as S
+from quarterloom.sources import spread
 
 PASSED = [
     "ticker", "company", "sector", "industry", "cik", "year", "quarter", "datacqtr", "datafqtr", "earnings_date", "eps12mtrailing_qavg",
@@ -23,10 +24,10 @@ CONTROLS = ("negative", "positive", "litigious", "constraining")
 
 def scored(texts: DataFrame, text: str, lexicons: Mapping[str, Iterable[str]], keep: list[str]) -> DataFrame:
     """Section, tokens of the whole and of the section, and all scores; each text is tokenised once per part."""
-    one = texts.select(*keep, F.col(text).alias("__full")).withColumn("__start", X.section_start("__full"))
-    # A generator of one row keeps the optimizer from repeating tokens in every score.
-    two = one.select(*keep, "__start", F.inline(F.array(F.struct(X.tokens("__full").alias("__wf"), X.tokens(X.section("__full", "__start")).alias("__wq")))))
-    return two.select(*keep, F.col("__start").isNotNull().alias("qa_isolated"), *X.score_columns("__wf", lexicons, "full"), *X.score_columns("__wq", lexicons, "qa"))
+    one = spread(texts.select(*keep, F.col(text).alias("__full"))).withColumn("__start", X.section_start("__full"))
+    two = one.select(*keep, F.col("__start").isNotNull().alias("qa_isolated"), F.inline(F.array(F.struct(X.tokens("__full").alias("__wf"), X.tokens(X.section("__full", "__start")).alias("__wq")))))
+    full = X.with_scores(two, "__wf", lexicons, "full", keep=[*keep, "qa_isolated", "__wq"])
+    return X.with_scores(full, "__wq", lexicons, "qa")
 
 
 def build_features(corpus: DataFrame, lexicons: Mapping[str, Iterable[str]], universe=None, key: str = "corpus_id") -> DataFrame:
@@ -46,10 +47,11 @@ def recent_signals(recent: DataFrame, panel: DataFrame, moment: str, lexicon: It
     """
     rows = recent.join(panel.select("ticker").distinct(), "ticker", "left_semi").withColumn("__at", F.try_to_timestamp(F.left(moment, F.lit(10)), F.lit("yyyy-MM-dd"))).where("__at is not null")
     rows = P.longest_text(P.period_columns(rows, "__at"), KEYS, "transcript", key)
-    part = rows.withColumn("__start", X.section_start("transcript")).withColumn("__part", X.section("transcript", "__start"))
-    words = part.select("ticker", "company", "year", "quarter", "datacqtr", F.date_format("__at", "yyyy-MM-dd").alias("earnings_date"), F.inline(F.array(F.struct(X.tokens("__part").alias("__w")))))
-    count, _ = X.count_terms("__w", lexicon)
-    raw = words.withColumn("total_tokens_qa", F.size("__w").cast("bigint")).where(F.col("total_tokens_qa") >= least_tokens).withColumn("__raw", X.density(count, "total_tokens_qa")).drop("__w")
+    part = spread(rows.select("ticker", "company", "year", "quarter", "datacqtr", "transcript", F.date_format("__at", "yyyy-MM-dd").alias("earnings_date")))
+    part = part.withColumn("__start", X.section_start("transcript")).withColumn("__part", X.section("transcript", "__start"))
+    words = part.select("ticker", "company", "year", "quarter", "datacqtr", "earnings_date", F.inline(F.array(F.struct(X.tokens("__part").alias("__w")))))
+    scores = X.with_scores(words, "__w", {"uncertainty": lexicon}, "qa")
+    raw = scores.where(F.col("total_tokens_qa") >= least_tokens).withColumnRenamed("uncertainty_density_qa", "__raw")
     known = panel.select("ticker", "datacqtr", F.col("uncertainty_density_qa").alias("__panel")).dropna()
     fit = S.calibration(raw.join(known, ["ticker", "datacqtr"]), "__raw", "__panel").select("slope", "intercept", F.lit(1).alias("__one"))
     scaled = raw.withColumn("__one", F.lit(1)).join(F.broadcast(fit), "__one").withColumn("uncertainty_density_qa", F.col("intercept") + F.col("slope") * F.col("__raw"))

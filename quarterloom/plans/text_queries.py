@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterloom.functions import text as X
-from quarterloom.sources import table
+from quarterloom.sources import spread, table
 from quarterloom.sources.lexicons import lexicon_table, lexicons
 
 _LISTS = lexicons()
@@ -17,7 +17,7 @@ _quoted = lambda terms: ", ".join("'" + t.replace("'", "''") + "'" for t in sort
 
 
 def _words(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "documents").select("doc_id", F.inline(F.array(F.struct(X.tokens("text").alias("words")))))
+    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.inline(F.array(F.struct(X.tokens("text").alias("words")))))
 
 
 def t1_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -25,7 +25,7 @@ def t1_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t3_lexicon_score(spark: SparkSession, folder: str) -> DataFrame:
-    return _words(spark, folder).select("doc_id", *X.score_columns("words", {"uncertainty": _LISTS["uncertainty"]}, "full")).withColumn("uncertainty_density_full", F.round("uncertainty_density_full", 9))
+    return X.with_scores(_words(spark, folder), "words", {"uncertainty": _LISTS["uncertainty"]}, "full").withColumn("uncertainty_density_full", F.round("uncertainty_density_full", 9))
 
 
 def t4_density_by_type(spark: SparkSession, folder: str) -> DataFrame:
@@ -36,7 +36,7 @@ def t4_density_by_type(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t7_multi_category(spark: SparkSession, folder: str) -> DataFrame:
-    scores = _words(spark, folder).select("doc_id", *X.score_columns("words", _LISTS, "full"))
+    scores = X.with_scores(_words(spark, folder), "words", _LISTS, "full")
     return scores.select("doc_id", "total_tokens_full", *(f"{c}_count_full" for c in _LISTS), "negation_excluded_full")
 
 
@@ -48,7 +48,7 @@ def j4_terms(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    return table(spark, folder, "corpus").select("corpus_id", "transcript").withColumn("start", X.section_start("transcript"))
+    return spread(table(spark, folder, "corpus").select("corpus_id", "transcript")).withColumn("start", X.section_start("transcript"))
 
 
 def t5_section_start(spark: SparkSession, folder: str) -> DataFrame:
@@ -77,8 +77,8 @@ def pr17_usable(spark: SparkSession, folder: str) -> DataFrame:
     """Density of the section where it is long enough, else null."""
     part = _transcripts(spark, folder).withColumn("part", X.section("transcript", "start"))
     words = part.select("corpus_id", F.inline(F.array(F.struct(X.tokens("part").alias("words")))))
-    count, _ = X.count_terms("words", _LISTS["uncertainty"])
-    return words.select("corpus_id", F.when(F.size("words") >= 500, F.round(X.density(count, F.size("words")), 9)).alias("density"))
+    scores = X.with_scores(words, "words", {"uncertainty": _LISTS["uncertainty"]}, "qa")
+    return scores.select("corpus_id", F.when(F.col("total_tokens_qa") >= 500, F.round("uncertainty_density_qa", 9)).alias("density"))
 
 
 def _score_sql(key: str, source: str, text: str, terms: str) -> str:

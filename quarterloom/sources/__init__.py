@@ -1,3 +1,3 @@
-from quarterloom.sources.tables import table
+from quarterloom.sources.tables import spread, table
 
-__all__ = ["table"]
+__all__ = ["spread", "table"]

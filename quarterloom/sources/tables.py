@@ -9,3 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores before heavy work per row, where the scan has fewer partitions than cores (a table in one small
+    file). A larger table is read in enough partitions already and is left as it is, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -13,7 +13,7 @@ R = "Revenue grew across all segments this quarter. " * 40
 
 def scores(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").withColumn("w", X.tokens("text"))
-    return [r for r in df.select("id", *X.score_columns("w", {"uncertainty": WORDS}, "full")).orderBy("id").collect()]
+    return X.with_scores(df, "w", {"uncertainty": WORDS}, "full").orderBy("id").collect()
 
 
 @pytest.mark.parametrize(
@@ -114,6 +114,6 @@ def test_lexicons(spark, tmp_path):
 
 def test_empty_lexicon(spark):
     df = spark.createDataFrame([("a b",)], "text string").withColumn("w", X.tokens("text"))
-    count, aside = X.count_terms("w", set())
-    assert tuple(df.select(count, aside).first()) == (0, 0)
-    assert df.where(F.lit(False)).select(*X.score_columns("w", {"uncertainty": WORDS}, "full")).count() == 0
+    none = X.with_scores(df, "w", {"uncertainty": set()}, "full").first()
+    assert (none.uncertainty_count_full, none.negation_excluded_full) == (0, 0)
+    assert X.with_scores(df.where(F.lit(False)), "w", {"uncertainty": WORDS}, "full").count() == 0
