@@ -22,12 +22,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quarterloom.llm.columns import rows_of, text_bytes
+from quarterloom.sources import spread
 
 WRONG_DECODERS = ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1251")
 # Characters that may have been garbled: Latin letters and signs, Greek, Cyrillic, punctuation, currency, signs, music.
 REPERTOIRE = ((0xA0, 0x17F), (0x391, 0x3C9), (0x401, 0x45F), (0x2010, 0x2044), (0x20A0, 0x20BF), (0x2100, 0x2122), (0x2190, 0x2193), (0x2200, 0x2265), (0x2660, 0x266F), (0xFB01, 0xFB02), (0xFEFF, 0xFEFF))
 _CONTROL = "\u0080-\u009f"
-_CONTRACTION = re.compile(r"(?<=[^\W\d_])\?(?=(?:t|s|ve|re|ll|d|m)\b)", re.I)
+_CONTRACTION = re.compile(
+    r"(?:\b[a-z]+n(?=\?t\b)|\bI(?=\?m\b)|\b(?:I|you|we|they|he|she|it|that|there|what|who|how|where|let|would|could|should|might|must)(?=\?(?:s|ve|re|ll|d)\b)|\b[a-z]{4,}(?=\?s\b))\?", re.I
+)
 _LOST = re.compile(r"(?<=[a-zß-ÿ])\?(?=[a-zß-ÿ])|(?<=[A-ZÀ-Þ])\?(?=[^\W\d_])|(?<=\s)\?+(?=\s|[^\W\d_])")
 
 
@@ -93,7 +96,7 @@ def restore(text: str) -> tuple[str, int, int]:
     fixed = "".join(parts) + text[last:] if spans else text
     marks = lost_marks(fixed)
     if marks:
-        mended = {m.start() for m in _CONTRACTION.finditer(fixed)}
+        mended = {m.end() - 1 for m in _CONTRACTION.finditer(fixed)}
         chars = list(fixed)
         for at in marks:
             if at in mended:
@@ -158,10 +161,10 @@ def garbled(text: Column) -> Column:
 
 def garbled_ids(df: DataFrame, key: str, text: str) -> DataFrame:
     """The keys of records with garbled text, as rec_id."""
-    return df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{text}`").alias("__text")).where(garbled(F.col("__text"))).select("rec_id")
+    return spread(df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{text}`").alias("__text"))).where(garbled(F.col("__text"))).select("rec_id")
 
 
 def garbled_records(df: DataFrame, key: str, text: str) -> DataFrame:
     """The same records with their restored text, the number of spans put right and of characters still lost."""
-    found = df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{text}`").alias("__text")).where(garbled(F.col("__text")))
+    found = spread(df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{text}`").alias("__text"))).where(garbled(F.col("__text")))
     return found.select("rec_id", _restored("__text").alias("r")).select("rec_id", F.col("r.text").alias("restored"), F.col("r.spans"), F.col("r.lost"))

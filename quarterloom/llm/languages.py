@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarterloom.sources import spread
+
 FAMILIES = {"germanic": ("en", "de", "nl", "sv"), "romance": ("fr", "es", "pt", "it")}
 LATIN = tuple(x for langs in FAMILIES.values() for x in langs)
 PAIRS = tuple((a, b) for langs in FAMILIES.values() for i, a in enumerate(langs) for b in langs[i + 1 :])
@@ -151,7 +153,7 @@ def _machine(rows: list[tuple[np.ndarray, np.ndarray]], signs: np.ndarray, cost:
                 bias += step
                 most = max(most, abs(step))
                 alpha[i] = new
-        if most < 1e-3:
+        if most < 1e-2:
             break
     return w, bias
 
@@ -301,7 +303,7 @@ def language_segments(documents: DataFrame, key: str = "doc_id", text: str = "te
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    chosen = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), label_language(F.col(f"`{label}`")).alias("label"), F.col(f"`{text}`").alias("__text"))
+    chosen = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), label_language(F.col(f"`{label}`")).alias("label"), F.col(f"`{text}`").alias("__text")))
     return chosen.mapInArrow(judge, _SEGMENTS)
 
 

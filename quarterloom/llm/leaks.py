@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterloom.sources import spread
+
 RUN = 4
 #: A run of words is a seed if at most so many items have it; stock phrases of many items are none.
 RARE = 4
@@ -151,7 +153,7 @@ def _searched(load) -> object:
 def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", sent: int = SEEDS_SENT) -> DataFrame:
     """doc_id, item_id, share, alike of every document and item held in it."""
     spark = documents.sparkSession
-    rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
+    rows = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("__text")))
     tests = items.select(F.col(f"`{item_key}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("item_text")).where(F.col("item_id").isNotNull())
     # An upper bound of the seeds: no text has more words than every other character.
     size = tests.agg(F.coalesce(F.sum(F.length("item_text") / 2), F.lit(0.0))).first()[0]

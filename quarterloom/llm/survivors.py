@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quarterloom.llm.garble import garbled
 from quarterloom.llm.truncation import is_cut
+from quarterloom.sources import spread
 
 # What a whole call opens and closes with, within so many characters of either end.
 OPENING, CLOSING, EDGE = "welcome to", ("you may now disconnect", "this concludes the program", "thank you for joining"), 600
@@ -61,7 +62,7 @@ def readable(text: Column) -> Column:
 def _prepared(corpus: DataFrame, feeds: DataFrame, attributes: list[str]) -> DataFrame:
     year, quarter = call_period(F.col("year").cast("double"), F.col("quarter").cast("double"), F.col("datacqtr"))
     filled = sum((F.col(f"`{c}`").isNotNull().cast("int") for c in corpus.columns), F.lit(0))
-    rows = corpus.select(
+    rows = spread(corpus).select(
         plain_ticker(F.col("ticker")).alias("__ticker"), year.alias("__year"), quarter.alias("__quarter"), readable(F.col("transcript")).alias("__readable"),
         filled.alias("__filled"), F.col("loaded_at").alias("__loaded"), F.col("corpus_id").alias("__id"), F.col("feed").alias("__feed"), *(F.col(f"`{c}`").alias(f"__a_{c}") for c in attributes),
     )

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarterloom.sources import spread
+
 #: Pre-tokens kept with their ids per worker; beyond this many the store starts anew. It speeds up, and decides nothing.
 REMEMBERED = 200_000
 VOCABULARY = "byte_bpe_50k"
@@ -171,5 +173,5 @@ def encoded(df: DataFrame, key: str, text: str, name: str = VOCABULARY, folder:
             ids = pa.array([one.encode(x.as_py()) for x in texts], pa.list_(pa.int32()))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), ids], names=["doc_id", "ids"])
 
-    rows = df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
+    rows = spread(df.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("__text")))
     return rows.mapInArrow(encode, "doc_id bigint, ids array<int>")

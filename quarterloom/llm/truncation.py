@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from quarterloom.functions import text as X
 from quarterloom.llm.garble import restore
 from quarterloom.session import cut_lineage
+from quarterloom.sources import spread
 
 #: Characters of the ending that are looked at; closing notes and lists of participants lie within.
 ENDING = 2000
@@ -105,7 +106,7 @@ def encoded_lengths(text: Column) -> dict[str, Column]:
 
 def open_endings(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
     """Records whose ending is open or doubtful: rec_id, source, kind, and a length for each encoding."""
-    rows = df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("__text"))
+    rows = spread(df.select(F.col(f"`{key}`").alias("rec_id"), F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("__text")))
     rows = rows.withColumn("kind", ending(F.col("__text"))).where("kind <> 'whole'")
     return rows.select("rec_id", "source", "kind", *(n.cast("bigint").alias(e) for e, n in encoded_lengths(F.col("__text")).items()))
 
@@ -137,8 +138,9 @@ def cut_records(df: DataFrame, key: str, text: str, source: str) -> DataFrame:
 def counted_on_cut(counts: DataFrame, key: str, link: str, count: str, texts: DataFrame, text_key: str, text: str, cut: DataFrame) -> DataFrame:
     """Rows whose count was taken from the cut text of the record they link to: counting again on the cut text gives the same."""
     short = texts.join(cut.select(F.col("rec_id").alias(text_key)), text_key, "left_semi").select(F.col(text_key).alias("__link"), F.col(text).alias("__text"))
-    cuts = short.withColumn("__start", X.section_start("__text")).withColumn("__part", X.section("__text", "__start"))
-    again = cuts.withColumn("__words", X.tokens("__part")).select("__link", F.expr("if(__part is null, null, cast(size(__words) as bigint))").alias("__again"))
+    # Generators of one row: else the filter on the new count would be worked out below the join, for every text.
+    starts = short.select("__link", "__text", F.inline(F.array(F.struct(X.section_start("__text").alias("__start")))))
+    again = starts.select("__link", F.inline(F.array(F.struct(X.tokens(X.section("__text", "__start")).alias("__words"))))).select("__link", F.expr("if(__words is null, null, cast(size(__words) as bigint))").alias("__again"))
     rows = counts.where(F.col(count).isNotNull()).select(F.col(key).alias("rec_id"), F.col(link).alias("__link"), F.col(count).alias("__count"))
     return rows.join(again, "__link").where("__count = __again").select("rec_id")
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from quarterloom.llm import peg
 from quarterloom.llm.garble import restore, suspects
+from quarterloom.sources import spread
 
 OPERATOR, UNIDENTIFIED = "Operator", "Unidentified Analyst"
 # Sounds and fillers of hesitation, headings, notes that close a transcript, short forms of titles.
@@ -346,7 +347,7 @@ def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def speaker_turns(records: DataFrame, speakers: DataFrame, key: str = "recent_id", ticker: str = "ticker", text: str = "transcript", with_text: bool = True) -> DataFrame:
     """recent_id, turn_no, speaker, text of every turn. Transcripts are parsed where they are read; only labels (and texts,
     if wanted) go on to meet the ticker's directory, a short list of people per ticker."""
-    raw = records.select(F.col(f"`{key}`").cast("bigint").alias("__id"), F.col(f"`{ticker}`").alias("__ticker"), F.col(f"`{text}`").alias("__text")).where("length(__text) > 0")
+    raw = spread(records.select(F.col(f"`{key}`").cast("bigint").alias("__id"), F.col(f"`{ticker}`").alias("__ticker"), F.col(f"`{text}`").alias("__text"))).where("length(__text) > 0")
     parsed = raw.mapInArrow(_parsed(with_text), "__id bigint, __ticker string, labels array<string>, spoken array<boolean>, speech array<string>")
     directory = speakers.where("speaker is not null").groupBy(F.col("ticker").alias("__ticker")).agg(F.sort_array(F.collect_set(F.struct("speaker", "title"))).alias("people"))
     joined = parsed.join(directory, "__ticker", "left").select("__id", "__ticker", "labels", "spoken", "speech", "people")
