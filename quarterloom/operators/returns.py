@@ -32,7 +32,8 @@ def with_forward_returns(calls: DataFrame, prices: DataFrame, anchor: str, horiz
     kept = calls.columns
     marked = calls.where(F.col(ticker).isNotNull()).select(ticker, F.col(anchor).cast("string").alias("__day"), F.lit(0).alias("__late"), F.struct(*kept).alias("__c"))
     both = events.unionByName(marked, allowMissingColumns=True)
-    # A call stands before the sessions of its own day and looks ahead.
-    ordered = Window.partitionBy(ticker).orderBy("__day", "__late")
-    found = both.withColumns({"__hit": F.first("__s", ignorenulls=True).over(ordered.rowsBetween(0, Window.unboundedFollowing)), "__any": F.count("__s").over(Window.partitionBy(ticker))})
+    # From the last day back, a call stands after the sessions of its own day: the last session seen is the first on or
+    # after it. (A frame that looks ahead without bound would be worked out anew for every row.)
+    back = Window.partitionBy(ticker).orderBy(F.col("__day").desc(), F.col("__late").desc())
+    found = both.withColumns({"__hit": F.last("__s", ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, 0)), "__any": F.count("__s").over(Window.partitionBy(ticker))})
     return found.where("__c is not null and __any > 0").select(*(F.col(f"__c.`{c}`").alias(c) for c in kept), *(F.col(f"__hit.{h}").alias(h) for h in horizons))

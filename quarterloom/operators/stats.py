@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarterloom.functions.special import correlation_p_value, normal_p_value, normal_two_sided
+from quarterloom.session import cut_lineage
 
 #: Time periods of a two-way fit, whose square matrix is solved on the driver.
 MOST_PERIODS = 2000
@@ -134,10 +135,11 @@ def fe_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str | None =
     rows = df.dropna(subset=[entity, *([time] if time else []), *columns]).select(entity, *([time] if time else []), *(F.col(c).cast("double").alias(c) for c in columns))
     periods = 0
     if time:
-        rows, periods = without_time_effects(rows, columns, entity, time)
+        # Read four times below: worked out once.
+        rows, periods = without_time_effects(cut_lineage(rows), columns, entity, time)
     k = len(columns)
     pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    cells = rows.groupBy(entity).agg(F.count("*").cast("double").alias("n"), *((F.covar_pop(columns[i], columns[j]) * F.count("*")).alias(f"c{i}_{j}") for i, j in pairs))
+    cells = cut_lineage(rows.groupBy(entity).agg(F.count("*").cast("double").alias("n"), *((F.covar_pop(columns[i], columns[j]) * F.count("*")).alias(f"c{i}_{j}") for i, j in pairs)))
     total = cells.agg(F.sum("n").alias("n"), F.count("*").alias("g"), *(F.sum(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in pairs)).first()
     schema = "term string, coef double, se double, t double, p double, n bigint, entities bigint, r2_within double"
     if not total.n:

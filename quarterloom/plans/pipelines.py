@@ -12,6 +12,7 @@ from quarterloom.functions.scalars import quarter_index
 from quarterloom.operators import panel as P
 from quarterloom.operators import returns as R
 from quarterloom.operators import stats as S
+from quarterloom.session import cut_lineage
 from quarterloom.sources import spread
 
 PASSED = [
@@ -51,7 +52,8 @@ def recent_signals(recent: DataFrame, panel: DataFrame, moment: str, lexicon: It
     part = part.withColumn("__start", X.section_start("transcript")).withColumn("__part", X.section("transcript", "__start"))
     words = part.select("ticker", "company", "year", "quarter", "datacqtr", "earnings_date", F.inline(F.array(F.struct(X.tokens("__part").alias("__w")))))
     scores = X.with_scores(words, "__w", {"uncertainty": lexicon}, "qa")
-    raw = scores.where(F.col("total_tokens_qa") >= least_tokens).withColumnRenamed("uncertainty_density_qa", "__raw")
+    # Used for the fit and for the result: the texts are scored once, the scores are small.
+    raw = cut_lineage(scores.where(F.col("total_tokens_qa") >= least_tokens).withColumnRenamed("uncertainty_density_qa", "__raw"))
     known = panel.select("ticker", "datacqtr", F.col("uncertainty_density_qa").alias("__panel")).dropna()
     fit = S.calibration(raw.join(known, ["ticker", "datacqtr"]), "__raw", "__panel").select("slope", "intercept", F.lit(1).alias("__one"))
     scaled = raw.withColumn("__one", F.lit(1)).join(F.broadcast(fit), "__one").withColumn("uncertainty_density_qa", F.col("intercept") + F.col("slope") * F.col("__raw"))
