@@ -25,7 +25,7 @@ CONTROLS = ("negative", "positive", "litigious", "constraining")
 
 def scored(texts: DataFrame, text: str, lexicons: Mapping[str, Iterable[str]], keep: list[str]) -> DataFrame:
     """Section, tokens of the whole and of the section, and all scores; each text is tokenised once per part."""
-    one = spread(texts.select(*keep, F.col(text).alias("__full"))).withColumn("__start", X.section_start("__full"))
+    one = texts.select(*keep, F.col(text).alias("__full")).withColumn("__start", X.section_start("__full"))
     two = one.select(*keep, F.col("__start").isNotNull().alias("qa_isolated"), F.inline(F.array(F.struct(X.tokens("__full").alias("__wf"), X.tokens(X.section("__full", "__start")).alias("__wq")))))
     full = X.with_scores(two, "__wf", lexicons, "full", keep=[*keep, "qa_isolated", "__wq"])
     return X.with_scores(full, "__wq", lexicons, "qa")
@@ -33,7 +33,7 @@ def scored(texts: DataFrame, text: str, lexicons: Mapping[str, Iterable[str]], k
 
 def build_features(corpus: DataFrame, lexicons: Mapping[str, Iterable[str]], universe=None, key: str = "corpus_id") -> DataFrame:
     """Corpus to feature table: universe, keys, longest transcript per key, scores, forward outcome."""
-    rows = corpus.where(P.universe() if universe is None else universe).dropna(subset=["year", "quarter", "ticker"])
+    rows = spread(corpus).where(P.universe() if universe is None else universe).dropna(subset=["year", "quarter", "ticker"])
     rows = rows.withColumns({"year": F.col("year").cast("int"), "quarter": F.col("quarter").cast("int")})
     unique = P.longest_text(rows, KEYS, "transcript", key)
     full = scored(unique, "transcript", lexicons, PASSED)
@@ -48,7 +48,7 @@ def recent_signals(recent: DataFrame, panel: DataFrame, moment: str, lexicon: It
     """
     rows = recent.join(panel.select("ticker").distinct(), "ticker", "left_semi").withColumn("__at", F.try_to_timestamp(F.left(moment, F.lit(10)), F.lit("yyyy-MM-dd"))).where("__at is not null")
     rows = P.longest_text(P.period_columns(rows, "__at"), KEYS, "transcript", key)
-    part = spread(rows.select("ticker", "company", "year", "quarter", "datacqtr", "transcript", F.date_format("__at", "yyyy-MM-dd").alias("earnings_date")))
+    part = rows.select("ticker", "company", "year", "quarter", "datacqtr", "transcript", F.date_format("__at", "yyyy-MM-dd").alias("earnings_date"))
     part = part.withColumn("__start", X.section_start("transcript")).withColumn("__part", X.section("transcript", "__start"))
     words = part.select("ticker", "company", "year", "quarter", "datacqtr", "earnings_date", F.inline(F.array(F.struct(X.tokens("__part").alias("__w")))))
     scores = X.with_scores(words, "__w", {"uncertainty": lexicon}, "qa")

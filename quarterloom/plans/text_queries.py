@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarterloom.functions import text as X
+from quarterloom.plans import pipelines as L
 from quarterloom.sources import spread, table
 from quarterloom.sources.lexicons import lexicon_table, lexicons
 
@@ -81,6 +82,16 @@ def pr17_usable(spark: SparkSession, folder: str) -> DataFrame:
     return scores.select("corpus_id", F.when(F.col("total_tokens_qa") >= 500, F.round("uncertainty_density_qa", 9)).alias("density"))
 
 
+def s2_feature_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The counts and outcomes of the whole feature build."""
+    rows = L.build_features(table(spark, folder, "corpus"), _LISTS, F.lit(True))
+    counts = [f"{c}_count_{part}" for part in ("full", "qa") for c in _LISTS]
+    return rows.select(
+        "ticker", F.col("year").cast("bigint").alias("year"), F.col("quarter").cast("bigint").alias("quarter"), "qa_isolated", "total_tokens_full", "total_tokens_qa",
+        "negation_excluded_full", "negation_excluded_qa", *counts, F.round("eps_ttm_next_q", 6).alias("eps_ttm_next_q"), F.round("eps_ttm_growth_next_q", 6).alias("growth"),
+    )
+
+
 def _score_sql(key: str, source: str, text: str, terms: str) -> str:
     return f"""
     tok as (select {key}, unnest({_TOKENS.format(text)}) as t, generate_subscripts({_TOKENS.format(text)}, 1) as i from {source}),
@@ -102,8 +113,25 @@ _T3 = f"with {_score_sql('doc_id', 'documents', 'text', _U)} select d.doc_id, ca
 _MARKS = " ".join(f"when instr(transcript, '{m}') > 0 then substring(transcript, instr(transcript, '{m}') + {len(m)})" for m in X.PLAIN_MARKERS)
 _WORDS9 = "list_filter(string_split_regex(lower(text), '\\s+'), lambda w: w <> '')"
 
-QUERIES = {name: f for name, f in globals().items() if re.match(r"(?:t|j|pr)\d+_", name)}
+_DEDUP = "dedup as (select * from (select *, row_number() over (partition by ticker, year, quarter order by coalesce(length(transcript), -1) desc, corpus_id) as rn from corpus where ticker is not null and year is not null and quarter is not null) where rn = 1)"
+_COUNTS = ", ".join(f"count(*) filter (where t in ({_quoted(t)}) and negated = 0) as {c}" for c, t in _LISTS.items())
+_BUILD = (
+    f"with {_DEDUP}, {_SECTIONS.replace('from corpus)', 'from dedup)')}, parts as (select corpus_id, 'full' as part, transcript as body from dedup union all select corpus_id, 'qa', case when start is not null then substring(transcript, start + 1) end from starts), "
+    f"tok as (select corpus_id, part, unnest({_TOKENS.format('body')}) as t, generate_subscripts({_TOKENS.format('body')}, 1) as i from parts), "
+    f"neg as (select *, coalesce(max(case when t in ({_quoted(X.NEGATORS)}) then 1 else 0 end) over (partition by corpus_id, part order by i rows between 3 preceding and 1 preceding), 0) as negated from tok), "
+    f"hit as (select corpus_id, part, count(*) as n, count(*) filter (where t in ({_U}) and negated = 1) as x, {_COUNTS} from neg group by corpus_id, part), "
+    "f as (select p.corpus_id, p.part, case when body is not null then coalesce(n, 0) end as n, case when body is not null then coalesce(x, 0) end as x, "
+    + ", ".join(f"case when body is not null then coalesce({c}, 0) end as {c}" for c in _LISTS)
+    + " from parts p left join hit h on p.corpus_id = h.corpus_id and p.part = h.part), "
+    "o as (select corpus_id, eps12mtrailing_qavg as e, case when lead(year * 4 + quarter) over w - (year * 4 + quarter) = 1 then lead(eps12mtrailing_qavg) over w end as nx from dedup window w as (partition by ticker order by year * 4 + quarter)) "
+    "select d.ticker, d.year::bigint as year, d.quarter::bigint as quarter, s.start is not null as qa_isolated, a.n as total_tokens_full, b.n as total_tokens_qa, a.x as negation_excluded_full, b.x as negation_excluded_qa, "
+    + ", ".join(f"{t}.{c} as {c}_count_{part}" for t, part in (("a", "full"), ("b", "qa")) for c in _LISTS)
+    + ", round(nx, 6) as eps_ttm_next_q, round((nx - e) / nullif(abs(e), 0) * 100, 6) as growth from dedup d join starts s on d.corpus_id = s.corpus_id join f a on a.corpus_id = d.corpus_id and a.part = 'full' join f b on b.corpus_id = d.corpus_id and b.part = 'qa' join o on o.corpus_id = d.corpus_id"
+)
+
+QUERIES = {name: f for name, f in globals().items() if re.match(r"(?:t|j|pr|s)\d+_", name)}
 ORACLE = {
+    "s2_feature_scores": _BUILD,
     "t1_tokens": f"select doc_id, len({_TOKENS.format('text')}) as n_tokens, md5(array_to_string({_TOKENS.format('text')}, ' ')) as tokens_md5 from documents",
     "t3_lexicon_score": _T3,
     "t4_density_by_type": f"select doc_type, sum(uncertainty_count_full)::bigint as hits, sum(total_tokens_full)::bigint as tokens, round(sum(uncertainty_count_full)::double / nullif(sum(total_tokens_full), 0)::double * 100, 9) as density from ({_T3}) s join documents d using (doc_id) group by doc_type",
