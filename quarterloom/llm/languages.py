@@ -63,10 +63,9 @@ def sentences(text: str) -> list[str]:
     out: list[str] = []
     start = 0
     for m in _SPLIT.finditer(text):
-        piece = text[start : m.end()]
-        if "\n" not in m.group() and m.end() > m.start() and _SHORT.search(piece):
+        if "\n" not in m.group() and m.end() > m.start() and _SHORT.search(text[max(start, m.end() - 16) : m.end()]):
             continue
-        out.append(piece)
+        out.append(text[start : m.end()])
         start = m.end()
     out.append(text[start:])
     return [x for x in (_SPEAKER.sub("", y).strip() for y in out) if x]

@@ -36,6 +36,9 @@ SHARE, ALIKE = 0.4, 0.8
 MATCH, MISMATCH, GAP = 2, -3, -3
 #: Seeds of all items up to which they go to every task; beyond, they are joined.
 SEEDS_SENT = 2_000_000
+# Characters without width, and words broken at the end of a line.
+_UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
+_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\n\s*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 
 
@@ -43,7 +46,9 @@ def words(text: str | None) -> list[str]:
     if not text:
         return []
     if not text.isascii():
-        text = unicodedata.normalize("NFKC", text).replace("’", "'")
+        text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text).replace("’", "'"))
+    if "-\n" in text or "‐\n" in text:
+        text = _BROKEN.sub("", text)
     return _WORD.findall(text.casefold())
 
 
@@ -100,7 +105,14 @@ def _stretches(pairs: list[tuple[int, int]], length: int, size: int) -> Iterator
 
 
 def held(text: list[str], item: list[str]) -> tuple[float, float]:
-    """Best local alignment of two word lists: matched words as a share of the item's, and as a share of the stretch."""
+    """Best local alignment of two word lists: matched words as a share of the item's, and as a share of the stretch.
+
+    A long text is aligned in windows that overlap by more than any alignment can span (each gap costs more than a match
+    pays, so an alignment spans less than twice the item); the table stays small.
+    """
+    span = 2 * len(item) + 1
+    if len(text) > 4 * span:
+        return max((held(text[at : at + 2 * span], item) for at in range(0, len(text) - span, span)), default=(0.0, 0.0))
     known: dict[str, int] = {}
     a = np.array([known.setdefault(w, len(known)) for w in text], np.int64)
     b = np.array([known.setdefault(w, len(known)) for w in item], np.int64)

@@ -27,6 +27,8 @@ from quarterloom.llm.garble import restore, suspects
 from quarterloom.sources import spread
 
 OPERATOR, UNIDENTIFIED = "Operator", "Unidentified Analyst"
+#: How far on, in seconds, a text must be for a stamp like its first to mean that it starts over.
+RESTART = 90
 # Sounds and fillers of hesitation, headings, notes that close a transcript, short forms of titles.
 SOUNDS = r"um+|uh+m?|uhm+|er+m?|ah+|h?mm+|mhm|hm+"
 FILLERS = r"you know|i mean|sort of|kind of|like"
@@ -35,7 +37,8 @@ TITLE_SHORT = {"ceo": "chief executive officer", "cfo": "chief financial officer
 NOTES = r"\*{3,}|[—–-]+ ?END ?[—–-]+|\[call ends\]|end of transcript|duration: ?\d+ ?min\w*|\(c\) [^\n]*|goodbye"
 
 # Grammar of small parts.
-STAMP = peg.seq(r"[\[(]?", r"\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?", r"[\])]?")
+_TIME = r"\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?"
+STAMP = peg.seq(r"[\[(]?", _TIME, r"[\])]?")
 ANNOTATION = peg.nested(
     lambda inner: peg.choice(
         peg.seq(r"\[", peg.many(peg.choice(inner, r"[^\[\]\n]")), r"\]"),
@@ -60,11 +63,11 @@ HEAD = peg.compiled(
     peg.choice(
         peg.seq("<v(?:\\.[^ >]*)? ", peg.node("voice", r"[^>\n]*"), ">"),
         peg.seq(r"<[QA] ?- ?", peg.node("side", r"[^>\n]*"), ">:?"),
-        peg.seq(r"\*\*", peg.node("bold", r"[^*\n]+"), r"\*\*", peg.maybe(peg.seq(" ?", STAMP)), ":?"),
-        peg.seq(peg.maybe(r">> ?"), peg.maybe(peg.seq(STAMP, r"\s+")), peg.node("line", _NAME), ":", peg.ahead(r"\s|$")),
+        peg.seq(r"\*\*", peg.node("bold", r"[^*\n]+"), r"\*\*", peg.maybe(peg.seq(r" ?[\[(]?", peg.node("after", _TIME), r"[\])]?")), ":?"),
+        peg.seq(peg.maybe(r">> ?"), peg.maybe(peg.seq(r"[\[(]?", peg.node("before", _TIME), r"[\])]?\s+")), peg.node("line", _NAME), ":", peg.ahead(r"\s|$")),
     )
 )
-CUE = peg.compiled(peg.seq(STAMP, r" ?--> ?", STAMP))
+CUE = peg.compiled(peg.seq(peg.node("start", _TIME), r" ?--> ?", _TIME))
 _STOPS = (". ", "? ", "! ", "… ", "] ", ") ", "} ", "> ", "* ", "♪ ", '" ', "” ", "- ")
 _ENDS = re.compile(r"[.?!:…]$")
 
@@ -77,8 +80,19 @@ def _heading(line: str) -> bool:
     return line.strip(" *#=-:\t").lower() in HEADINGS
 
 
+def seconds(stamp: str) -> float:
+    total = 0.0
+    for part in stamp.replace(",", ".").split(":"):
+        total = total * 60 + float(part)
+    return total
+
+
 def heads(text: str) -> list[tuple[str | None, str]]:
-    """(label, what follows) in order; a label of None opens a stretch that is nobody's speech."""
+    """(label, what follows) in spoken order; a label of None opens a stretch that is nobody's speech.
+
+    Where heads are stamped, their stamps give the order; a head without stamp stays behind the one before it. A text that
+    starts over, with a stamp back near its first, goes on as another part.
+    """
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n")
@@ -87,6 +101,8 @@ def heads(text: str) -> list[tuple[str | None, str]]:
     name_lines = not tagged and not HEAD.match(first) and len(first) <= 90 and not _ENDS.search(first.rstrip())
     running = not tagged and not name_lines and _is_running(lines)
     out: list[tuple[str | None, list[str]]] = [(None, [])]
+    stamps: dict[int, float] = {}
+    cue: float | None = None
     for line in lines:
         bare = line.strip()
         if not bare:
@@ -96,7 +112,10 @@ def heads(text: str) -> list[tuple[str | None, str]]:
             # What a heading is followed by, up to the next head, is no speech; in lists of people there is none.
             out.append((None, []))
             continue
-        if "-->" in line and CUE.match(bare) or len(bare) < 60 and _NOTE_LINE.fullmatch(bare):
+        if "-->" in line and (m := CUE.match(bare)):
+            cue = seconds(m["start"])
+            continue
+        if len(bare) < 60 and _NOTE_LINE.fullmatch(bare):
             continue
         if name_lines:
             if len(bare) <= 90 and not _ENDS.search(bare) and "[" not in bare[:1]:
@@ -109,10 +128,29 @@ def heads(text: str) -> list[tuple[str | None, str]]:
             continue
         m = HEAD.match(line)
         if m:
+            stamp = m["before"] or m["after"]
+            if stamp or cue is not None:
+                stamps[len(out)] = seconds(stamp) if stamp else cue
+            cue = None
             out.append((m["voice"] or m["side"] or m["bold"] or m["line"] or "", [line[m.end() :]]))
         else:
             out[-1][1].append(line)
-    return [(label, "\n".join(parts)) for label, parts in out]
+    order = _spoken_order(len(out), stamps) if len(stamps) > 1 else range(len(out))
+    return [(out[i][0], "\n".join(out[i][1])) for i in order]
+
+
+def _spoken_order(n: int, stamps: dict[int, float]) -> list[int]:
+    first = next(iter(stamps.values()))
+    part, now, most, keys = 0, -1.0, first, []
+    for i in range(n):
+        if i in stamps:
+            at = stamps[i]
+            # Back at the start from far on: the text begins again.
+            if at <= first + 1 and most > first + RESTART:
+                part, most = part + 1, at
+            now, most = at, max(most, at)
+        keys.append((part, now, i))
+    return [i for *_, i in sorted(keys)]
 
 
 def _is_running(lines: list[str]) -> bool:

@@ -71,6 +71,7 @@ def test_alignment():
     items = K.Items([(1, ITEM), (2, "short"), (3, None)])
     pad = " ".join(f"z{k}" for k in range(50))
     assert items.found(f"{pad} {ITEM}, {pad}")[0][:2] == (1, 1.0)
+    assert K.words("Fen\u200bley wal-\nnut ﬁne DON’T") == ["fenley", "walnut", "fine", "don't"]
     half = " - ".join(altered(said[20:80], 9, rng))
     assert [k for k, *_ in items.found(f"{pad}\n{half}\n{pad}")] == [1]
     assert items.found(" ".join(said[:40]) + pad) == []
@@ -78,6 +79,10 @@ def test_alignment():
     assert items.found(scattered) == []
     assert items.found(None) == [] and items.found("") == [] and items.found("w0") == []
     assert K.held([], ["a"]) == (0.0, 0.0)
+    # A very long text is aligned in windows, with the same result.
+    noise = ["z"] * 5000
+    assert K.held(noise + said + noise, said)[0] == 1.0
+    assert [k for k, *_ in items.found(" ".join(noise + said[:6] + noise + said))] == [1]
 
 
 def test_alignment_table_against_brute_force():

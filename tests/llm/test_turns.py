@@ -47,6 +47,19 @@ def test_running_text():
     assert [n for n, _ in parsed(text)] == ["Operator", "Björn Ardvenmont", "Inés Josphiex", "Célia Torneth", "Björn Ardvenmont"]
 
 
+def test_stamps_give_the_order():
+    lines = "[00:00:01] Operator: Good day.\n(00:00:30) Inés Josphiex: Will it last?\n[00:00:20] Operator: A question.\n(00:00:40) Célia Torneth: Yes.\nUnstamped: word"
+    assert [n for n, _ in parsed(lines)] == ["Operator", "Inés Josphiex", "Célia Torneth"]
+    assert parsed(lines)[0][1] == "Good day. A question."
+    voice = "WEBVTT\n\n00:00:09.000 --> 00:00:12.000\n<v Operator>One.\n\n00:04:08.362 --> 00:04:16.508\n<v Inés Josphiex>Why?\n\n00:04:02.911 --> 00:04:07.120\n<v Björn Ardvenmont>Next."
+    assert [n for n, _ in parsed(voice)] == ["Operator", "Björn Ardvenmont", "Inés Josphiex"]
+    bold = "**Operator** (00:00:01): One.\n\n**Inés Josphiex** (00:03:40): Why?\n\n**Célia Torneth** (00:03:20): Two."
+    once = [n for n, _ in parsed(bold)]
+    assert once == ["Operator", "Célia Torneth", "Inés Josphiex"]
+    # A text that is there twice isn't mixed up.
+    assert [n for n, _ in parsed(bold + "\n\n" + bold)] == once + once
+
+
 def test_noise():
     text = "[Music]\nOperator: Good [crosstalk] day - um - and er, welcome.\nInés Josphiex: (laughter)\nCélia Torneth: Um, uh... [inaudible (twice)]\nOperator: Next.\nBjörn Ardvenmont: Thanks.\n\nDuration: 20 minutes"
     assert parsed(text) == [("Operator", "Good day and welcome. Next."), ("Björn Ardvenmont", "Thanks.")]
