@@ -31,7 +31,7 @@ _CONTROL = "\u0080-\u009f"
 _CONTRACTION = re.compile(
     r"(?:\b[a-z]+n(?=\?t\b)|\bI(?=\?m\b)|\b(?:I|you|we|they|he|she|it|that|there|what|who|how|where|let|would|could|should|might|must)(?=\?(?:s|ve|re|ll|d)\b)|\b[a-z]{4,}(?=\?s\b))\?", re.I
 )
-_LOST = re.compile(r"(?<=[a-zß-ÿ])\?(?=[a-zß-ÿ])|(?<=[A-ZÀ-Þ])\?(?=[^\W\d_])|(?<=\s)\?+(?=\s|[^\W\d_])")
+_LOST = re.compile(r"(?<=[a-zß-ÿ])\?(?=[a-zß-ÿ])|(?<=[A-ZÀ-Þ])\?(?=[^\W\d_])|(?<=\s)\?+(?=\s|[^\W\d_])|(?<=[^\W\d_])\?(?=[,;:])")
 
 
 def _decode(data: bytes, codec: str) -> str:
@@ -117,7 +117,7 @@ def is_garbled(text: str) -> bool:
 
 def suspects(texts: pa.Array) -> np.ndarray:
     """Rows that may be garbled, from their bytes: two neighbouring characters beyond ASCII, a control or replacement
-    character, or a question mark beside a letter or between blanks. No garbled text escapes this; it spares clean ones the rest."""
+    character, or a question mark between letters, between blanks, or before a comma or colon. No garbled text escapes this; it spares clean ones the rest."""
     data, starts = text_bytes(texts)
     marked = np.zeros(len(starts) - 1, bool)
     if len(data) > 1:
@@ -132,7 +132,8 @@ def suspects(texts: pa.Array) -> np.ndarray:
         before = data[np.maximum(marks - 1, 0)]
         word = lambda x: ((x | 0x20) >= 0x61) & ((x | 0x20) <= 0x7A) | (x >= 0x80)
         blank = lambda x: (x == 0x20) | ((x >= 0x09) & (x <= 0x0D)) | (x == 0x3F)
-        marks = marks[(word(before) & word(follow)) | (blank(before) & (word(follow) | blank(follow)))]
+        stop = (follow == 0x2C) | (follow == 0x3A) | (follow == 0x3B)
+        marks = marks[(word(before) & (word(follow) | stop)) | (blank(before) & (word(follow) | blank(follow)))]
         marked[rows_of(np.concatenate([places, marks]), starts)] = True
     return marked
 
