@@ -67,7 +67,7 @@ def s2_recent_signals(spark, folder):
     """Recent calls with their dates brought to one form, scored and calibrated on the panel's scale."""
     feeds = table(spark, folder, "call_feeds").select("feed", F.col("home_zone").alias("__hz"), F.col("date_order").alias("__do"))
     recent = with_norm(spread(table(spark, folder, "recent_corpus")).join(feeds, "feed", "left"), "call_date", "__hz", "__do")
-    return L.recent_signals(recent, panel(spark, folder).where("year < 2023"), "norm", lexicons()["uncertainty"], least_tokens=300)
+    return L.recent_signals(recent, panel(spark, folder), "norm", lexicons()["uncertainty"], least_tokens=300)
 
 
 def j6_event_returns(spark, folder):
