@@ -27,33 +27,72 @@ def _calls(spark: SparkSession, folder: str) -> DataFrame:
     return rows.select("feature_id", "ticker", "earnings_date")
 
 
+def _dated(spark: SparkSession, folder: str, rows: DataFrame) -> DataFrame:
+    """Rows with earnings_date as yyyy-MM-dd, whatever its notation; those without a meaningful day stay out. A moment counts by its UTC date."""
+    feeds = table(spark, folder, "call_feeds").select("feed", F.col("home_zone").alias("__hz"), F.col("date_order").alias("__do"))
+    known = with_norm(rows.join(feeds, "feed", "left"), "earnings_date", "__hz", "__do")
+    day = F.regexp_extract("norm", r"^(\d{4}-\d{2}-\d{2})(?:T|$)", 1)
+    return known.withColumn("earnings_date", F.nullif(day, F.lit(""))).where("earnings_date is not null").drop("feed", "__hz", "__do", "norm")
+
+
+def _dated_calls(spark: SparkSession, folder: str) -> DataFrame:
+    return _dated(spark, folder, table(spark, folder, "tech_uncertainty_features").select("feature_id", "ticker", "earnings_date", "feed"))
+
+
+def _outcomes(spark: SparkSession, folder: str) -> DataFrame:
+    """Both returns of every call of the panel that has a meaningful day."""
+    return L.price_outcomes(_dated(spark, folder, panel(spark, folder)), table(spark, folder, "prices"), "earnings_date")
+
+
 def j6_forward_return(spark, folder):
-    """The return five sessions on from the first session on or after each call."""
+    """The return five sessions on from the first session on or after each call; like its SQL only of calls whose day is written yyyy-MM-dd."""
     rows = R.with_forward_returns(_calls(spark, folder), _sessions(spark, folder), "earnings_date", {"ret_5d": 5})
     return rows.select("feature_id", _r("ret_5d").alias("ret_5d"))
 
 
+def j6_forward_return_all(spark, folder):
+    """j6_forward_return of every call with a meaningful day, in any notation."""
+    rows = R.with_forward_returns(_dated_calls(spark, folder), _sessions(spark, folder), "earnings_date", {"ret_5d": 5})
+    return rows.select("feature_id", _r("ret_5d").alias("ret_5d"))
+
+
 def j7_two_horizons(spark, folder):
+    """Both horizons; like its SQL only of calls whose day is written yyyy-MM-dd."""
     rows = R.with_forward_returns(_calls(spark, folder), _sessions(spark, folder), "earnings_date")
     return rows.select("feature_id", _r("ret_5d").alias("ret_5d"), _r("ret_fwd_q").alias("ret_fwd_q"))
 
 
+def j7_two_horizons_all(spark, folder):
+    """j7_two_horizons of every call with a meaningful day, in any notation."""
+    rows = R.with_forward_returns(_dated_calls(spark, folder), _sessions(spark, folder), "earnings_date")
+    return rows.select("feature_id", _r("ret_5d").alias("ret_5d"), _r("ret_fwd_q").alias("ret_fwd_q"))
+
+
 def j8_sessions(spark, folder):
     """One close per ticker and day; the market-wide series is fetched many times a day."""
     return _sessions(spark, folder).groupBy("ticker").agg(F.count("*").alias("n_days"), _r(F.avg("close")).alias("mean_close"))
 
 
-def j1_outcomes_and_density(spark, folder):
-    outcomes = L.price_outcomes(panel(spark, folder).where(F.col("earnings_date").rlike(_ISO)), table(spark, folder, "prices"), "earnings_date")
+def _with_density(spark: SparkSession, folder: str, outcomes: DataFrame) -> DataFrame:
     density = panel(spark, folder).select("ticker", "datacqtr", "uncertainty_density_qa")
     joined = outcomes.join(density, ["ticker", "datacqtr"])
     return joined.select("ticker", "datacqtr", _r("ret_5d").alias("ret_5d"), _r("uncertainty_density_qa").alias("density"))
 
 
-def a14_price_drift(spark, folder):
-    """Return over five sessions on density, entity effects."""
+def j1_outcomes_and_density(spark, folder):
+    """Returns beside densities; like its SQL only of calls whose day is written yyyy-MM-dd."""
     outcomes = L.price_outcomes(panel(spark, folder).where(F.col("earnings_date").rlike(_ISO)), table(spark, folder, "prices"), "earnings_date")
-    return L.price_drift(outcomes, panel(spark, folder), "ret_5d", None, 300)
+    return _with_density(spark, folder, outcomes)
+
+
+def j1_outcomes_and_density_all(spark, folder):
+    """j1_outcomes_and_density of every call with a meaningful day, in any notation."""
+    return _with_density(spark, folder, _outcomes(spark, folder))
+
+
+def a14_price_drift(spark, folder):
+    """Returns over both horizons on density, each with entity effects and with both, of every call with a meaningful day."""
+    return L.price_drifts(_outcomes(spark, folder), panel(spark, folder), least_tokens=300)
 
 
 def s4_price_json(spark, folder):

@@ -16,7 +16,7 @@ from quarterloom.sources.lexicons import lexicons
 
 _LEAST = 300
 _r = lambda c: F.round(c, 6)
-_FEATURES = ["feature_id", "ticker", "company", "sector", "year", "quarter", "datacqtr", "earnings_date", "qa_isolated", "total_tokens_qa", "uncertainty_density_qa", "negation_excluded_full", "eps_ttm", "eps_ttm_next_q", "eps_ttm_growth_next_q", *(f"{c}_density_qa" for c in L.CONTROLS)]
+_FEATURES = ["feature_id", "ticker", "company", "sector", "year", "quarter", "datacqtr", "earnings_date", "feed", "qa_isolated", "total_tokens_qa", "uncertainty_density_qa", "negation_excluded_full", "eps_ttm", "eps_ttm_next_q", "eps_ttm_growth_next_q", *(f"{c}_density_qa" for c in L.CONTROLS)]
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:

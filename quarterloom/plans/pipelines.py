@@ -123,6 +123,19 @@ def price_drift(outcomes: DataFrame, panel: DataFrame, horizon: str, time: str |
     return S.fe_fit(P.winsorize(rows, horizon, "ret_w"), "ret_w", ["density_z"], "ticker", time)
 
 
+def price_drifts(outcomes: DataFrame, panel: DataFrame, time: str = "datacqtr", least_tokens: int = 500) -> DataFrame:
+    """Both horizons, each with entity effects and with both."""
+    # Read by every fit: the small rows are worked out once.
+    outcomes = cut_lineage(outcomes.select("ticker", "datacqtr", *R.HORIZONS))
+    panel = cut_lineage(panel.select("ticker", "datacqtr", "qa_isolated", "total_tokens_qa", "uncertainty_density_qa"))
+    out = None
+    for horizon in R.HORIZONS:
+        for spec, period in (("entity", None), ("entity+time", time)):
+            fit = price_drift(outcomes, panel, horizon, period, least_tokens).select(F.lit(horizon).alias("outcome"), F.lit(spec).alias("spec"), "coef", "se", "t", "p", "r2_within", "n")
+            out = fit if out is None else out.unionByName(fit)
+    return out
+
+
 def robustness(panel: DataFrame, least_tokens: int = 500, time: str = "datacqtr") -> DataFrame:
     """The trailing outcome and the single-quarter one, each with entity effects and with both."""
     rows = P.standardize(panel.where(P.sample_filter(least_tokens)).withColumn("density", F.col("uncertainty_density_qa")), {"density": "density_z"}, "ticker")

@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 from quarterloom.functions.scalars import quarter_index
 from quarterloom.operators import stats as S
 from quarterloom.plans import market_queries as M
+from quarterloom.plans import panel_queries as PQ
 from quarterloom.plans.panel_queries import panel
 
 
@@ -18,3 +19,25 @@ def test_recent_signals_take_the_whole_panel(spark, small, monkeypatch):
     assert joined.where(quarter_index("year", "quarter") <= F.col("last")).count() == 0
     # The overlap reaches to the panel's end.
     assert overlaps[0].where("datacqtr >= '2023'").count() > 0
+
+
+def test_returns_of_days_in_any_notation(spark, tmp_path):
+    written = ["2024-01-03", "Jan. 3, 2024", "20240103", " 2024-01-03 ", "03-Jan-2024", "01/03/2024", "2024-01-03T15:00:00Z", "2024Q1", "", None, "n/a"]
+    rows = [(k, f"T{k}", 2024, 1, "2024Q1", d, "f") for k, d in enumerate(written)]
+    calls = spark.createDataFrame(rows, "feature_id bigint, ticker string, year int, quarter int, datacqtr string, earnings_date string, feed string")
+    other = [c for c in PQ._FEATURES if c not in calls.columns]
+    calls.select("*", *(F.lit(1.0).alias(c) for c in other)).write.parquet(str(tmp_path / "tech_uncertainty_features.parquet"))
+    spark.createDataFrame([("f", "UTC", "MDY")], "feed string, home_zone string, date_order string").write.parquet(str(tmp_path / "call_feeds.parquet"))
+    days = [f"2024-01-{d:02d}" for d in range(2, 12)]
+    prices = [(f"T{k}", d, 100.0 + n, "x", 1) for k in range(len(written)) for n, d in enumerate(days)]
+    spark.createDataFrame(prices, "ticker string, date string, close double, fetched_at string, price_id int").write.parquet(str(tmp_path / "prices.parquet"))
+    want = round((106 / 101 - 1) * 100, 6)
+    folder = str(tmp_path)
+    assert sorted(tuple(r) for r in M.j6_forward_return_all(spark, folder).collect()) == [(k, want) for k in range(7)]
+    assert sorted(tuple(r) for r in M.j7_two_horizons_all(spark, folder).collect()) == [(k, want, None) for k in range(7)]
+    assert sorted(tuple(r) for r in M.j1_outcomes_and_density_all(spark, folder).collect()) == [(f"T{k}", "2024Q1", want, 1.0) for k in range(7)]
+
+
+def test_price_drift_has_both_horizons_and_specifications(spark, small):
+    got = {(r.outcome, r.spec): r.n for r in M.a14_price_drift(spark, small).collect()}
+    assert set(got) == {(o, s) for o in ("ret_5d", "ret_fwd_q") for s in ("entity", "entity+time")} and got["ret_5d", "entity"] > 0
