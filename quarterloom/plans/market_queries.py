@@ -10,9 +10,8 @@ from pyspark.sql import functions as F
 from quarterloom.operators import returns as R
 from quarterloom.operators.timestamps import with_norm
 from quarterloom.plans import pipelines as L
-from quarterloom.plans.panel_queries import panel
-from quarterloom.sources import more, spread, table
-from quarterloom.sources.lexicons import lexicons
+from quarterloom.plans.panel_queries import panel, recent_signals
+from quarterloom.sources import more, table
 
 _r = lambda c: F.round(c, 6)
 _ISO = r"^\d{4}-\d{2}-\d{2}$"
@@ -104,9 +103,7 @@ def s4_price_json(spark, folder):
 
 def s2_recent_signals(spark, folder):
     """Recent calls with their dates brought to one form, scored and calibrated on the panel's scale."""
-    feeds = table(spark, folder, "call_feeds").select("feed", F.col("home_zone").alias("__hz"), F.col("date_order").alias("__do"))
-    recent = with_norm(spread(table(spark, folder, "recent_corpus")).join(feeds, "feed", "left"), "call_date", "__hz", "__do")
-    return L.recent_signals(recent, panel(spark, folder), "norm", lexicons()["uncertainty"], least_tokens=300)
+    return recent_signals(spark, folder)
 
 
 def j6_event_returns(spark, folder):

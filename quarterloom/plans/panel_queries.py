@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from quarterloom.functions.scalars import clip, contains_query, escape_html, p_bucket, quarter_index, quarter_key, quarter_label, round_exact
 from quarterloom.operators import panel as P
 from quarterloom.operators import stats as S
+from quarterloom.operators.timestamps import with_norm
 from quarterloom.plans import pipelines as L
-from quarterloom.sources import more, table
+from quarterloom.sources import more, spread, table
 from quarterloom.sources.lexicons import lexicons
 
 _LEAST = 300
@@ -25,6 +26,13 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
     return P.keep_best(rows, L.KEYS, [-F.col("feature_id")])
 
 
+def recent_signals(spark: SparkSession, folder: str) -> DataFrame:
+    """Recent calls later than the whole panel, on its scale."""
+    feeds = table(spark, folder, "call_feeds").select("feed", F.col("home_zone").alias("__hz"), F.col("date_order").alias("__do"))
+    recent = with_norm(spread(table(spark, folder, "recent_corpus")).join(feeds, "feed", "left"), "call_date", "__hz", "__do")
+    return L.recent_signals(recent, panel(spark, folder), "norm", lexicons()["uncertainty"], least_tokens=_LEAST)
+
+
 def _sample(spark: SparkSession, folder: str) -> DataFrame:
     return L.growth_sample(panel(spark, folder), _LEAST)
 
@@ -230,9 +238,18 @@ def w5_latest(spark, folder):
     return rows.select("ticker", "company", "quarter", "quarters_behind", "n_history", *(_r(c).alias(c) for c in ("density_qa", "density_z", "density_pctile", "change_vs_prev_call")))
 
 
+def _companies(documents: DataFrame) -> DataFrame:
+    return documents.select("ticker", "name", F.size("quarters").cast("bigint").alias("n_quarters"), "r", "latestLabel", "latestZ")
+
+
 def w6_companies(spark, folder):
-    rows = L.company_documents(panel(spark, folder), least_tokens=_LEAST)
-    return rows.select("ticker", "name", F.size("quarters").cast("bigint").alias("n_quarters"), "r", "latestLabel", "latestZ")
+    """Companies of the panel alone, like its SQL; w6_companies_recent has the recent quarters as well."""
+    return _companies(L.company_documents(panel(spark, folder), least_tokens=_LEAST))
+
+
+def w6_companies_recent(spark, folder):
+    """Companies with their calibrated recent quarters."""
+    return _companies(L.company_documents(panel(spark, folder), recent_signals(spark, folder), least_tokens=_LEAST))
 
 
 def w11_segments(spark, folder):
@@ -256,11 +273,19 @@ def o3_top_bottom(spark, folder):
     return top.unionByName(rows.orderBy("density_z", "ticker").limit(5).withColumn("end", F.lit("bottom")))
 
 
-def o4_watchlist(spark, folder):
-    rows = w6_companies(spark, folder).where("latestZ is not null").orderBy(F.col("latestZ").desc(), "ticker").limit(10)
+def _watchlist(companies: DataFrame) -> DataFrame:
+    rows = companies.where("latestZ is not null").orderBy(F.col("latestZ").desc(), "ticker").limit(10)
     return rows.select("ticker", "latestZ", F.when(F.col("latestZ") >= 1, "high").when(F.col("latestZ") <= -1, "low").otherwise("mid").alias("colour"))
 
 
+def o4_watchlist(spark, folder):
+    return _watchlist(w6_companies(spark, folder))
+
+
+def o4_watchlist_recent(spark, folder):
+    return _watchlist(w6_companies_recent(spark, folder))
+
+
 def u1_append(spark, folder):
     rows = panel(spark, folder).select("ticker", "year", "quarter", "eps_ttm")
     recent = table(spark, folder, "recent_corpus").select("ticker", F.lit(2030).alias("year"), F.lit(1).alias("quarter"))
@@ -286,12 +311,28 @@ def j5_known_tickers(spark, folder):
     return table(spark, folder, "recent_corpus").join(panel(spark, folder).select("ticker").distinct(), "ticker", "left_semi").select("recent_id", "ticker")
 
 
+def _search(companies: DataFrame) -> DataFrame:
+    return companies.where(contains_query(["ticker", "name"], " holdings ")).select("ticker", F.col("name"), escape_html("name").alias("shown")).orderBy("ticker").limit(72)
+
+
 def x1_search(spark, folder):
-    return w6_companies(spark, folder).where(contains_query(["ticker", "name"], " holdings ")).select("ticker", F.col("name"), escape_html("name").alias("shown")).orderBy("ticker").limit(72)
+    return _search(w6_companies(spark, folder))
+
+
+def x1_search_recent(spark, folder):
+    return _search(w6_companies_recent(spark, folder))
+
+
+def _lookup(companies: DataFrame) -> DataFrame:
+    return companies.where("ticker = 'ZANNO'").select("ticker", "n_quarters").limit(1)
 
 
 def x3_lookup(spark, folder):
-    return w6_companies(spark, folder).where("ticker = 'ZANNO'").select("ticker", "n_quarters").limit(1)
+    return _lookup(w6_companies(spark, folder))
+
+
+def x3_lookup_recent(spark, folder):
+    return _lookup(w6_companies_recent(spark, folder))
 
 
 def x4_axis(spark, folder):
@@ -311,14 +352,23 @@ def x7_header(spark, folder):
     return rows.select("n", F.concat(F.format_string("%.2f", low * F.signum("coefLow")), F.lit(" to "), F.format_string("%.2f", high * F.signum("coefHigh"))).alias("range"), "p")
 
 
-def x2_bars(spark, folder):
+def _bars(companies: DataFrame) -> DataFrame:
     """Width of a watchlist bar, held within nought and one."""
-    return w6_companies(spark, folder).where("latestZ is not null").select("ticker", clip(F.col("latestZ") / 4 + 0.5, F.lit(0.0), F.lit(1.0)).alias("width"))
+    return companies.where("latestZ is not null").select("ticker", clip(F.col("latestZ") / 4 + 0.5, F.lit(0.0), F.lit(1.0)).alias("width"))
+
+
+def x2_bars(spark, folder):
+    return _bars(w6_companies(spark, folder))
+
+
+def x2_bars_recent(spark, folder):
+    return _bars(w6_companies_recent(spark, folder))
 
 
 def k5_explorer_json(spark, folder):
+    """The page's document, with the calibrated recent quarters."""
     stats = L.panel_stats(panel(spark, folder), _LEAST)
-    return L.explorer_document(stats, L.company_documents(panel(spark, folder), least_tokens=_LEAST))
+    return L.explorer_document(stats, L.company_documents(panel(spark, folder), recent_signals(spark, folder), least_tokens=_LEAST))
 
 
 def s2_feature_build(spark, folder):

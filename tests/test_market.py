@@ -1,3 +1,5 @@
+import json
+
 from pyspark.sql import functions as F
 
 from quarterloom.functions.scalars import quarter_index
@@ -41,3 +43,13 @@ def test_returns_of_days_in_any_notation(spark, tmp_path):
 def test_price_drift_has_both_horizons_and_specifications(spark, small):
     got = {(r.outcome, r.spec): r.n for r in M.a14_price_drift(spark, small).collect()}
     assert set(got) == {(o, s) for o in ("ret_5d", "ret_fwd_q") for s in ("entity", "entity+time")} and got["ret_5d", "entity"] > 0
+
+
+def test_companies_have_their_recent_quarters(spark, small):
+    recent = {(r.ticker, quarter) for r in PQ.recent_signals(spark, small).collect() for quarter in [f"Q{r.quarter} '{r.year % 100:02d}"]}
+    document = json.loads(PQ.k5_explorer_json(spark, small).first().document)
+    shown = {c["ticker"]: [q["label"] for q in c["quarters"]] for c in document["companies"]}
+    kept = {(t, q) for t, q in recent if t in shown}
+    assert kept and all(q in shown[t] for t, q in kept)
+    assert all((c["ticker"], c["latestLabel"]) in recent for c in document["companies"] if c["ticker"] in {t for t, _ in kept})
+    assert {r.ticker: r.n_quarters for r in PQ.w6_companies_recent(spark, small).collect()} == {t: len(q) for t, q in shown.items()}
