@@ -154,11 +154,18 @@ def _spoken_order(n: int, stamps: dict[int, float]) -> list[int]:
 
 
 def _is_running(lines: list[str]) -> bool:
-    """Running text: a long line holds several labels."""
+    """Running text: a line holds several labels. Where that line is short, as in a text cut early, no other line may open
+    with a head and its own may have no stamp: those are lines of one turn each with colons in their speech."""
+    labels = lambda line: sum(_label(piece) is not None for piece in line.split(": ")[:-1])
     longest = max(lines, key=len)
-    if len(longest) < 700:
+    if len(longest) >= 700:
+        return labels(longest) >= 2
+    counts = [labels(line) for line in lines]
+    fullest = counts.index(max(counts))
+    if counts[fullest] < 2 or any("-->" in line for line in lines):
         return False
-    return sum(_label(piece) is not None for piece in longest.split(": ")[:-1]) >= 2
+    opening = [(i, m) for i, line in enumerate(lines) if not _heading(line) and not _NOTE_LINE.fullmatch(line.strip()) and (m := HEAD.match(line))]
+    return all(i == fullest and not m["before"] for i, m in opening)
 
 
 def _label(piece: str) -> str | None:

@@ -47,6 +47,17 @@ def test_running_text():
     assert [n for n, _ in parsed(text)] == ["Operator", "Björn Ardvenmont", "Inés Josphiex", "Célia Torneth", "Björn Ardvenmont"]
 
 
+def test_running_text_cut_early():
+    text = "Operator: Good day. Björn Ardvenmont: Thanks. We grew. Inés Josphiex: Is it likely to last? Célia Torneth: Yes."
+    assert parsed(text) == WANTED
+    assert parsed(text[:59]) == [WANTED[0], ("Björn Ardvenmont", "Thanks. We grew. Inés")]
+    assert parsed(text + "\n\nDuration: 20 minutes") == WANTED
+    # Colons in the speech of lines of one turn each.
+    lines = "Operator: Two things: one.\nInés Josphiex: As he said: why?"
+    assert parsed(lines) == [("Operator", "Two things: one."), ("Inés Josphiex", "As he said: why?")]
+    assert parsed("00:00:01 Operator: Two things: one.") == [("Operator", "Two things: one.")]
+
+
 def test_stamps_give_the_order():
     lines = "[00:00:01] Operator: Good day.\n(00:00:30) Inés Josphiex: Will it last?\n[00:00:20] Operator: A question.\n(00:00:40) Célia Torneth: Yes.\nUnstamped: word"
     assert [n for n, _ in parsed(lines)] == ["Operator", "Inés Josphiex", "Célia Torneth"]
