@@ -1,20 +1,24 @@
 """Passages of held-out evaluation items inside a training corpus, whole or in part.
 
-Texts and items are words without case and punctuation. Runs of ``RUN`` words that occur in few items are seeds; a document
-that shares enough seeds with an item, close to one diagonal, is a candidate, and Smith-Waterman alignment of words scores it:
-copies with changed, lost or inserted words align, passages that are only worded alike don't. A document holds an item if the
-aligned stretch has at least two fifths of the item's words.
-
-A document's seeds are gathered within its row, so nothing is shuffled while the items' seeds fit a checked size; beyond it the
-seeds of documents and items meet in a join, and the alignment is the same. Long documents are searched whole. Null and empty texts
-and items hold nothing; items of fewer than ``RUN`` words have no seed and are never found. Repeated items are items of their own.
+Texts and items are words without case and punctuation (module wordruns). Runs of words that few of the items' texts have are
+seeds; a document that shares enough seeds with an item, close to one diagonal, is a candidate, and Smith-Waterman alignment of
+words scores it: copies with changed, lost or inserted words align, passages that are only worded alike don't. A document
+holds an item if some part of the alignment matches at least two fifths of the item's words, and at least ``FEWEST``, and is matched to
+``ALIKE`` or more.
+
+The seeds lose nothing: how many an item needs follows from its own length and seeds, as the least number that any such stretch must
+still share after as many edits as ``ALIKE`` allows. Rarity is counted over distinct item texts, so repeated items keep their
+seeds; where an item's rare runs can't promise a seed in every stretch, its commoner runs are taken as well, rarest first. Items of
+12 words or fewer go by runs of two words, others by runs of three.
+
+A document's seeds are gathered within its row, so no document is shuffled. The items go to the tasks in blocks of
+a checked size; more blocks mean more passes over the documents, not more memory, and the result is the same for
+any number of blocks. Long documents are searched whole. Null and empty texts and items hold nothing; items of fewer than ``FEWEST``
+words are never found (a shorter stretch is a quotation). Items with the same text are all found, each under its id.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,200 +26,283 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarterloom.sources import spread
+from quarterloom.llm.wordruns import Words, runs, words
 
-RUN = 4
-#: A run of words is a seed if at most so many items have it; stock phrases of many items are none.
-RARE = 4
-#: Seeds a document must share with an item near one diagonal: so many, and this part of the item's words. A copy of two fifths with
-#: every eighth word changed still has twice as many.
-LEAST_SEEDS, SEED_SHARE = 5, 0.08
-#: How far seeds of one copy may drift apart by lost and inserted words, in words.
-DRIFT = 24
 SHARE, ALIKE = 0.4, 0.8
-MATCH, MISMATCH, GAP = 2, -3, -3
-#: Seeds of all items up to which they go to every task; beyond, they are joined.
-SEEDS_SENT = 2_000_000
-# Characters without width, and words broken at the end of a line.
-_UNSEEN = re.compile("[\u00ad\u200b-\u200d\u2060\ufeff]")
-_BROKEN = re.compile(r"(?<=[^\W\d_])[-‐]\n\s*(?=[^\W\d_])")
-_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: Words a stretch must match at the least, whatever the item's length.
+FEWEST = 4
+#: A run of words is rare if at most so many distinct item texts have it. An item takes commoner runs too, rarest first, until every
+#: stretch is sure to share this part of the seeds that all its runs would promise.
+RARE, SURE = 4, 0.75
+#: An edit costs less than a match pays, so that an alignment goes on over single edits up to a part's last word; what is alike
+#: enough is taken out of it afterwards.
+MATCH, MISMATCH, GAP = 4, -3, -4
+#: Cells of the alignment tables that are worked out side by side.
+TABLE = 4_000_000
+#: Bytes of item texts in one block.
+BLOCK = 16_000_000
 
 
-def words(text: str | None) -> list[str]:
-    if not text:
-        return []
-    if not text.isascii():
-        text = _UNSEEN.sub("", unicodedata.normalize("NFKC", text).replace("’", "'"))
-    if "-\n" in text or "‐\n" in text:
-        text = _BROKEN.sub("", text)
-    return _WORD.findall(text.casefold())
+def _least(size: int) -> int:
+    """Words of an item of this size that a stretch must match."""
+    return max(FEWEST, -(-size * 2 // 5))
+
+
+def _run_size(size: int) -> int:
+    return 2 if size <= 12 else 3
+
+
+def promised(chosen: np.ndarray, size: int) -> int:
+    """Seeds that any stretch of an item shares, however its edits fall. chosen: which of the item's runs are seeds.
+
+    A stretch matches M words and has at most E = M(1 - ALIKE) / ALIKE edits. One that changes or loses a word of the item spoils as
+    many runs as a run has words, but lengthens the item's part of the stretch; an inserted word spoils one less.
+    """
+    least, run = _least(size), _run_size(size)
+    edits = int(np.ceil(least * (1 - ALIKE) / ALIKE - 1e-9))
+    before = np.concatenate([[0], np.cumsum(chosen)])
+    best = None
+    for inner in range(edits + 1):
+        width = min(least + inner, size) - run + 1
+        if width <= 0:
+            return 0
+        fewest = int((before[width:] - before[:-width]).min()) - run * inner - (run - 1) * (edits - inner)
+        best = fewest if best is None else min(best, fewest)
+        if least + inner >= size:
+            break
+    return best
 
 
 class Items:
-    """The items' words and the places of their seeds."""
-
-    def __init__(self, items: list[tuple[int, str | None]], seeds: set[str] | None = None):
-        """seeds: if given, the runs that count, found elsewhere; else those that few of the items have."""
-        self.words = {key: words(text) for key, text in items}
-        places: dict[tuple, list[tuple[int, int]]] = defaultdict(list)
-        for key, said in self.words.items():
-            for i in range(len(said) - RUN + 1):
-                places[tuple(said[i : i + RUN])].append((key, i))
-        rare = lambda run, at: " ".join(run) in seeds if seeds is not None else len({key for key, _ in at}) <= RARE
-        self.seeds = {run: at for run, at in places.items() if rare(run, at)}
-        # Most positions of a document end here, at their first two words.
-        self.starts = {run[:2] for run in self.seeds}
-
-    def found(self, text: str | None) -> list[tuple[int, float, float]]:
-        """(item, share of the item's words held, how alike the stretch is) of every item the text holds."""
-        said = words(text)
-        hits: dict[int, list[tuple[int, int]]] = {}
-        starts, seeds = self.starts, self.seeds
-        for i, pair in enumerate(zip(said, said[1:])):
-            if pair in starts:
-                for key, j in seeds.get(tuple(said[i : i + RUN]), ()):
-                    hits.setdefault(key, []).append((i, j))
-        out = []
-        for key, pairs in hits.items():
-            if len(pairs) >= LEAST_SEEDS:
-                best = max((held(said[lo:hi], self.words[key]) for lo, hi in _stretches(pairs, len(said), len(self.words[key]))), default=(0.0, 0.0))
-                if best[0] >= SHARE:
-                    out.append((key, *best))
-        return out
-
-
-def _stretches(pairs: list[tuple[int, int]], length: int, size: int) -> Iterator[tuple[int, int]]:
-    """Parts of a document around seeds whose diagonals lie close together."""
-    order = sorted(pairs, key=lambda p: (p[0] - p[1], p[0]))
-    group: list[tuple[int, int]] = []
-    groups = []
-    for p in order:
-        if group and (p[0] - p[1]) - (group[-1][0] - group[-1][1]) > DRIFT:
-            groups.append(group)
-            group = []
-        group.append(p)
-    groups.append(group)
-    for group in groups:
-        if len({j for _, j in group}) >= max(LEAST_SEEDS, SEED_SHARE * size):
-            first = min(i - j for i, j in group)
-            last = max(i - j for i, j in group)
-            # Where the whole item would lie, with room for what was lost or inserted.
-            yield max(0, first - DRIFT), min(length, last + size + DRIFT)
-
-
-def held(text: list[str], item: list[str]) -> tuple[float, float]:
-    """Best local alignment of two word lists: matched words as a share of the item's, and as a share of the stretch.
-
-    A long text is aligned in windows that overlap by more than any alignment can span (each gap costs more than a match
-    pays, so an alignment spans less than twice the item); the table stays small.
+    """The distinct texts of items as word numbers, with their seeds."""
+
+    def __init__(self, items: list[tuple[int, str | None]], rare: int = RARE):
+        said = words([text for _, text in items])
+        texts: dict[bytes, int] = {}
+        self.keys: list[list[int]] = []
+        self.words: list[np.ndarray] = []
+        for row, (key, _) in enumerate(items):
+            own = said.of(row)
+            if len(own) >= FEWEST:
+                number = texts.setdefault(own.tobytes(), len(self.words))
+                if number == len(self.words):
+                    self.words.append(own)
+                    self.keys.append([])
+                self.keys[number].append(key)
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        all_runs = [runs(w, _run_size(len(w))) for w in self.words]
+        distinct = [np.unique(r) for r in all_runs]
+        names, times = np.unique(np.concatenate([*distinct, np.zeros(0, np.uint64)]), return_counts=True)
+        self.least = np.ones(len(self.words), np.int64)
+        found: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {2: [], 3: []}
+        for number, own in enumerate(all_runs):
+            common = times[np.searchsorted(names, own)]
+            enough = max(1, SURE * promised(np.ones(len(own), bool), len(self.words[number])))
+            for level in [rare, *np.unique(common[common > rare]).tolist()]:
+                chosen = common <= level
+                if (sure := promised(chosen, len(self.words[number]))) >= enough:
+                    break
+            self.least[number] = max(1, sure)
+            at = np.flatnonzero(chosen)
+            found[_run_size(len(self.words[number]))].append((own[at], np.full(len(at), number), at))
+        self.seeds = {size: _Seeds(parts) for size, parts in found.items() if parts}
+
+    def candidates(self, texts: Words) -> Iterator[tuple[int, int, int, int]]:
+        """(row, item text, first and last word) of the stretches that share enough seeds near one diagonal."""
+        rows, places, numbers, at = [], [], [], []
+        for size, seeds in self.seeds.items():
+            spots, which, item, pos = seeds.meet(runs(texts.hashes, size))
+            row = np.searchsorted(texts.starts, spots, side="right") - 1
+            # A run across two texts is none.
+            whole = spots + size <= texts.starts[row + 1]
+            rows.append(row[whole])
+            places.append((spots - texts.starts[row])[whole])
+            numbers.append(item[whole])
+            at.append(pos[whole])
+        if not rows or not sum(map(len, rows)):
+            return
+        row, place, number, pos = (np.concatenate(x) for x in (rows, places, numbers, at))
+        # Pairs with too few seeds in all go before anything is put in order.
+        pair = row * len(self.words) + number
+        _, which, many = np.unique(pair, return_inverse=True, return_counts=True)
+        enough = (many >= self.least[number[np.unique(pair, return_index=True)[1]]])[which]
+        row, number, pos, way = row[enough], number[enough], pos[enough], (place - pos)[enough]
+        if not len(row):
+            return
+        order = np.lexsort((way, number, row))
+        row, number, way, pos = row[order], number[order], way[order], pos[order]
+        # In a stretch of just enough words, lost and inserted ones move the diagonal by no more than its edits, and its seeds lie
+        # within its part of the item. (A longer stretch has such a part, or is of exact pieces on both sides of its edits.)
+        need = np.array([_least(n) for n in self.sizes])
+        drift = np.ceil(need * (1 - ALIKE) / ALIKE).astype(np.int64) + 1
+        fresh = np.concatenate([[True], (row[1:] != row[:-1]) | (number[1:] != number[:-1]) | (way[1:] - way[:-1] > drift[number[1:]])])
+        begin = np.flatnonzero(fresh)
+        end = np.concatenate([begin[1:], [len(row)]])
+        full = end - begin >= self.least[number[begin]]
+        for a, b in zip(begin[full], end[full], strict=True):
+            item = int(number[a])
+            least, own = int(self.least[item]), np.unique(pos[a:b])
+            if len(own) >= least and (own[least - 1 :] - own[: len(own) - least + 1] <= need[item] + drift[item]).any():
+                slack = int(np.ceil(self.sizes[item] * (1 - ALIKE) / ALIKE))
+                yield int(row[a]), item, max(0, int(way[a]) - slack), int(way[b - 1]) + int(self.sizes[item]) + slack
+
+    def found(self, texts: list[str | None]) -> Iterator[tuple[int, int, float, float]]:
+        """(row, item, share of the item's words held, how alike the stretch is) of every item each text holds."""
+        said = words(texts)
+        best: dict[tuple[int, int], tuple[float, float]] = {}
+        near = list(self.candidates(said))
+        scored = held_all([(said.of(row)[first:last], self.words[item]) for row, item, first, last in near])
+        for (row, item, _, _), (share, alike) in zip(near, scored, strict=True):
+            if share and (share, alike) > best.get((row, item), (0.0, 0.0)):
+                best[row, item] = share, alike
+        for (row, item), (share, alike) in best.items():
+            for key in self.keys[item]:
+                yield row, key, share, alike
+
+
+class _Seeds:
+    """Seed hashes in order, with the places each has in the items."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        hashes, item, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        self.item, self.pos = item[order], pos[order]
+        self.names, self.first, self.many = np.unique(hashes[order], return_index=True, return_counts=True)
+        # Most runs of a corpus are no seeds and end at this table of their upper bits.
+        self.shift = np.uint64(64 - max(16, int(len(self.names)).bit_length() + 5))
+        self.maybe = np.zeros(1 << (64 - int(self.shift)), bool)
+        self.maybe[(self.names >> self.shift).astype(np.int64)] = True
+
+    def meet(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(place among the hashes, seed, item, place in the item) of every meeting."""
+        spots = np.flatnonzero(self.maybe[(hashes >> self.shift).astype(np.int64)])
+        seed = np.minimum(np.searchsorted(self.names, hashes[spots]), max(0, len(self.names) - 1))
+        same = self.names[seed] == hashes[spots] if len(self.names) else np.zeros(0, bool)
+        spots, seed = spots[same], seed[same]
+        many = self.many[seed]
+        each = np.repeat(self.first[seed] - np.concatenate([[0], np.cumsum(many)[:-1]]) if len(seed) else seed, many) + np.arange(int(many.sum()))
+        return np.repeat(spots, many), np.repeat(seed, many), self.item[each], self.pos[each]
+
+
+def held(text: np.ndarray, item: np.ndarray) -> tuple[float, float]:
+    """The best local alignment's longest part that is alike enough: matched words as a share of the item's, and of the part.
+    (0, 0) if no part is long enough."""
+    return next(iter(held_all([(text, item)])))
+
+
+def held_all(pairs: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, float]]:
+    """``held`` of many pairs of about the same size at once.
+
+    A long text is aligned in windows that overlap by more than any alignment can span (a gap costs what a match
+    pays, so an alignment spans at most twice the item); the tables stay small.
     """
-    span = 2 * len(item) + 1
-    if len(text) > 4 * span:
-        return max((held(text[at : at + 2 * span], item) for at in range(0, len(text) - span, span)), default=(0.0, 0.0))
-    known: dict[str, int] = {}
-    a = np.array([known.setdefault(w, len(known)) for w in text], np.int64)
-    b = np.array([known.setdefault(w, len(known)) for w in item], np.int64)
-    if not len(a) or not len(b):
-        return 0.0, 0.0
-    n, m = len(a), len(b)
-    table = np.zeros((n + 1, m + 1), np.int32)
+    out = [(0.0, 0.0)] * len(pairs)
+    tasks: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for number, (text, item) in enumerate(pairs):
+        span = 2 * len(item) + 1
+        if len(text) > 4 * span:
+            tasks += [(number, text[at : at + 2 * span], item) for at in range(0, len(text) - span, span)]
+        elif len(text) and len(item):
+            tasks.append((number, text, item))
+    tasks.sort(key=lambda t: len(t[1]) * len(t[2]))
+    at = 0
+    while at < len(tasks):
+        size, end = 0, at
+        n = m = 0
+        while end < len(tasks):
+            n, m = max(n, len(tasks[end][1])), max(m, len(tasks[end][2]))
+            if end > at and (end + 1 - at) * (n + 1) * (m + 1) > TABLE:
+                break
+            end += 1
+        for (number, _, item), found in zip(tasks[at:end], _aligned([t[1:] for t in tasks[at:end]]), strict=True):
+            out[number] = max(out[number], found)
+        at = end
+    return out
+
+
+def _aligned(pairs: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, float]]:
+    """Smith-Waterman tables of all pairs side by side, then the way back through each."""
+    n, m = max(len(t) for t, _ in pairs), max(len(i) for _, i in pairs)
+    texts, items = np.zeros((n, len(pairs), 1), np.uint64), np.ones((len(pairs), m), np.uint64)
+    for k, (text, item) in enumerate(pairs):
+        # Filling on either side equals nothing.
+        texts[: len(text), k, 0], items[k, : len(item)] = text | np.uint64(2), item | np.uint64(2)
+    table = np.zeros((n + 1, len(pairs), m + 1), np.int32)
     slope = np.arange(m + 1, dtype=np.int32) * -GAP
     for i in range(1, n + 1):
-        row = table[i]
-        np.maximum(table[i - 1, :-1] + np.where(b == a[i - 1], MATCH, MISMATCH), table[i - 1, 1:] + GAP, out=row[1:])
+        row, last = table[i], table[i - 1]
+        np.maximum(last[:, :-1] + np.where(items == texts[i - 1], np.int32(MATCH), np.int32(MISMATCH)), last[:, 1:] + np.int32(GAP), out=row[:, 1:])
         np.maximum(row, 0, out=row)
         # Gaps along the row: the best of all earlier cells less the way.
-        np.maximum(row, np.maximum.accumulate(row + slope) - slope, out=row)
-    i, j = np.unravel_index(int(table.argmax()), table.shape)
-    matched = columns = 0
-    while i and j and table[i, j] > 0:
-        columns += 1
-        same = a[i - 1] == b[j - 1]
-        if table[i, j] == table[i - 1, j - 1] + (MATCH if same else MISMATCH):
-            matched += int(same)
-            i, j = i - 1, j - 1
-        elif table[i, j] == table[i - 1, j] + GAP:
-            i -= 1
-        else:
-            j -= 1
-    alike = matched / columns if columns else 0.0
-    return (matched / m, alike) if alike >= ALIKE else (0.0, alike)
+        np.maximum(row, np.maximum.accumulate(row + slope, axis=1) - slope, out=row)
+    for k, (text, item) in enumerate(pairs):
+        own = table[:, k]
+        least = _least(len(item))
+        i, j = divmod(int(own.argmax()), m + 1)
+        # No stretch that matches enough scores less.
+        if own[i, j] < MATCH * least + GAP * least * (1 - ALIKE) / ALIKE:
+            yield 0.0, 0.0
+            continue
+        columns: list[int] = []
+        while i and j and own[i, j] > 0:
+            same = text[i - 1] == item[j - 1]
+            if own[i, j] == own[i - 1, j - 1] + (MATCH if same else MISMATCH):
+                columns.append(int(same))
+                i, j = i - 1, j - 1
+            else:
+                columns.append(0)
+                if own[i, j] == own[i - 1, j] + GAP:
+                    i -= 1
+                else:
+                    j -= 1
+        matched, size = _alike_part(np.array(columns, np.int64))
+        yield (matched / len(item), matched / size) if matched >= least else (0.0, 0.0)
+
+
+def _alike_part(columns: np.ndarray) -> tuple[int, int]:
+    """Matches and columns of the part of an alignment that matches most while it is matched to ALIKE or more."""
+    matched = np.concatenate([[0], np.cumsum(columns)])
+    # A part is alike enough if its surplus isn't negative; the farthest start with no more surplus than its end is best.
+    surplus = matched - ALIKE * np.arange(len(matched)) + 1e-9 * np.arange(len(matched))
+    lowest = np.minimum.accumulate(surplus)
+    start = np.searchsorted(-lowest, -surplus)
+    gain = matched - matched[start]
+    end = int(gain.argmax())
+    return int(gain[end]), int(end - start[end]) or 1
 
 
 _FOUND = "doc_id bigint, item_id bigint, share double, alike double"
+_KINDS = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
 
-def _searched(load) -> object:
-    """The search over batches; ``load`` gives the items where the task runs."""
+def _searched(shared) -> object:
+    """The search over batches; the items' seeds are built once where a task runs."""
+    ready: list[Items] = []
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = load()
         for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch.column("doc_id").to_pylist(), batch.column("__text"), strict=True):
-                rows.extend((key, *one) for one in items.found(text.as_py()))
-            columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "share", "alike"])
+            if not ready:
+                ready.append(Items(shared.value))
+            ids = batch.column("doc_id")
+            for at in range(0, batch.num_rows, 500):
+                rows = [(ids[at + row].as_py(), *one) for row, *one in ready[0].found(batch.column("__text").slice(at, 500).to_pylist())]
+                columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=["doc_id", "item_id", "share", "alike"])
 
     return search
 
 
-def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", sent: int = SEEDS_SENT) -> DataFrame:
-    """doc_id, item_id, share, alike of every document and item held in it."""
-    spark = documents.sparkSession
-    rows = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("__text")))
-    tests = items.select(F.col(f"`{item_key}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("item_text")).where(F.col("item_id").isNotNull())
-    # An upper bound of the seeds: no text has more words than every other character.
-    size = tests.agg(F.coalesce(F.sum(F.length("item_text") / 2), F.lit(0.0))).first()[0]
-    if size <= sent:
-        shared = spark.sparkContext.broadcast(sorted((r.item_id, r.item_text) for r in tests.collect() if r.item_text))
-        cache: dict = {}
-
-        def load() -> Items:
-            if "items" not in cache:
-                cache["items"] = Items(shared.value)
-            return cache["items"]
-
-        return rows.mapInArrow(_searched(load), _FOUND)
-    return _joined(rows, tests)
-
-
-def _runs_of(name: str, key: str, text: str, every: bool):
-    """(name, run) of each text: every run, or each once."""
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, found = [], []
-            for one, value in zip(batch.column(key).to_pylist(), batch.column(text), strict=True):
-                said = words(value.as_py())
-                all_runs = [" ".join(said[i : i + RUN]) for i in range(len(said) - RUN + 1)]
-                for run in all_runs if every else set(all_runs):
-                    keys.append(one)
-                    found.append(run)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(found, pa.string())], names=[name, "run"])
-
-    return runs
-
-
-def _joined(rows: DataFrame, tests: DataFrame) -> DataFrame:
-    """The way for item sets of any size: seeds meet in a join, pairs with enough of them are aligned one by one."""
-    seeds = tests.mapInArrow(_runs_of("item_id", "item_id", "item_text", True), "item_id bigint, run string").groupBy("item_id", "run").agg(F.count("*").alias("__times"))
-    rare = seeds.groupBy("run").agg(F.count("*").alias("__n")).where(F.col("__n") <= RARE).select("run")
-    seeds = seeds.join(rare, "run").select(F.xxhash64("run").alias("h"), "item_id", "run", "__times")
-    runs = rows.mapInArrow(_runs_of("doc_id", "doc_id", "__text", False), "doc_id bigint, run string").select(F.xxhash64("run").alias("h"), "doc_id")
-    # A pair's shared seeds are at most the words of its item.
-    pairs = runs.join(seeds, "h").groupBy("doc_id", "item_id").agg(F.collect_set("run").alias("seeds"), F.sum("__times").alias("__n")).where(F.col("__n") >= LEAST_SEEDS).drop("__n")
-    both = pairs.join(tests, "item_id").join(rows, "doc_id")
-
-    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                out.extend((row["doc_id"], *one) for one in Items([(row["item_id"], row["item_text"])], set(row["seeds"])).found(row["__text"]))
-            columns = list(zip(*out, strict=True)) if out else [[], [], [], []]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "item_id", "share", "alike"])
-
-    return both.mapInArrow(align, _FOUND)
+def leaked(documents: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", block: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, share, alike of every document and item held in it. block: bytes of item texts that go to the tasks at once."""
+    context = documents.sparkSession.sparkContext
+    rows = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").alias("__text"))
+    tests = items.select(F.col(f"`{item_key}`").cast("bigint").alias("item_id"), F.col(f"`{item_text}`").alias("item_text")).where("item_id is not null and length(item_text) > 0")
+    size = tests.agg(F.coalesce(F.sum(F.octet_length("item_text")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // block))
+    out = None
+    for number in range(blocks):
+        part = tests.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == number).select("item_id", "item_text")
+        shared = context.broadcast(sorted((r.item_id, r.item_text) for r in part.collect()))
+        found = rows.mapInArrow(_searched(shared), _FOUND)
+        out = found if out is None else out.unionByName(found)
+    return out

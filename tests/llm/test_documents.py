@@ -4,7 +4,6 @@ import numpy as np
 import pytest
 
 from quarterloom.llm import languages as L
-from quarterloom.llm import leaks as K
 from quarterloom.llm import tokenizer as B
 
 pytest.importorskip("public_tokenizers")
@@ -51,65 +50,6 @@ def test_encoded_frame(spark):
     assert B.encoded(df.limit(0), "id", "text").count() == 0
 
 
-ITEM = " ".join(f"w{k} quay{k % 7} lamp{k % 5}x{k}" for k in range(40))
-
-
-def altered(words, every, rng):
-    out = []
-    for k, w in enumerate(words):
-        if k % every == every - 1:
-            kind = rng.randint(0, 2)
-            out += [] if kind == 0 else ["other"] if kind == 1 else [w, "extra"]
-        else:
-            out.append(w.upper() if k % 3 == 0 else w)
-    return out
-
-
-def test_alignment():
-    rng = random.Random(3)
-    said = K.words(ITEM)
-    items = K.Items([(1, ITEM), (2, "short"), (3, None)])
-    pad = " ".join(f"z{k}" for k in range(50))
-    assert items.found(f"{pad} {ITEM}, {pad}")[0][:2] == (1, 1.0)
-    assert K.words("Fen\u200bley wal-\nnut ﬁne DON’T") == ["fenley", "walnut", "fine", "don't"]
-    half = " - ".join(altered(said[20:80], 9, rng))
-    assert [k for k, *_ in items.found(f"{pad}\n{half}\n{pad}")] == [1]
-    assert items.found(" ".join(said[:40]) + pad) == []
-    scattered = f" {pad} ".join(" ".join(said[k : k + 12]) for k in range(0, 120, 12))
-    assert items.found(scattered) == []
-    assert items.found(None) == [] and items.found("") == [] and items.found("w0") == []
-    assert K.held([], ["a"]) == (0.0, 0.0)
-    # A very long text is aligned in windows, with the same result.
-    noise = ["z"] * 5000
-    assert K.held(noise + said + noise, said)[0] == 1.0
-    assert [k for k, *_ in items.found(" ".join(noise + said[:6] + noise + said))] == [1]
-
-
-def test_alignment_table_against_brute_force():
-    rng = random.Random(4)
-    for _ in range(30):
-        a, b = (rng.choices("abcd", k=rng.randint(1, 14)) for _ in range(2))
-        h = np.zeros((len(a) + 1, len(b) + 1), int)
-        for i in range(1, len(a) + 1):
-            for j in range(1, len(b) + 1):
-                h[i, j] = max(0, h[i - 1, j - 1] + (K.MATCH if a[i - 1] == b[j - 1] else K.MISMATCH), h[i - 1, j] + K.GAP, h[i, j - 1] + K.GAP)
-        share, alike = K.held(a, b)
-        # The matched words of the best alignment pay at least its value.
-        assert round(share * len(b)) * K.MATCH >= h.max() or alike < K.ALIKE
-
-
-def test_both_ways_agree(spark):
-    rng = random.Random(5)
-    said = K.words(ITEM)
-    docs = [(1, ITEM), (2, None), (3, ""), (4, "nothing here at all of it"), (5, " ".join(altered(said[:70], 8, rng))), (1, ITEM)]
-    df = spark.createDataFrame([(k, t, "x") for k, t in docs], "doc_id bigint, text string, item_id string")
-    items = spark.createDataFrame([(7, ITEM), (8, None), (9, "w0 quay0")], "item_id bigint, text string")
-    one = sorted((r.doc_id, r.item_id) for r in K.leaked(df, items).collect())
-    assert set(one) == {(1, 7), (5, 7)}
-    assert {(r.doc_id, r.item_id) for r in K.leaked(df, items, sent=0).collect()} == set(one)
-    assert K.leaked(df.limit(0), items).count() == 0 and K.leaked(df, items.limit(0)).count() == 0
-
-
 SENTENCES = {
     "en": "The board approved a dividend and we expect demand to be {0} this year. There is still uncertainty around the {0} plant.",
     "de": "Der Vorstand schlägt eine Dividende vor und wir rechnen mit einer {0} Nachfrage. Es gibt noch Unsicherheit über das {0} Werk.",
