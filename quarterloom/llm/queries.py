@@ -9,10 +9,6 @@ from quarterloom.llm import garble, languages, leaks, survivors, tokenizer, trun
 from quarterloom.sources import table
 
 _TEXTS = (("corpus", "corpus_id"), ("recent_corpus", "recent_id"))
-_ATTRIBUTES = [
-    "company", "sector", "industry", "cik", "datacqtr", "datafqtr", "earnings_date", "eps12mtrailing_qavg", "eps12mtrailing_eoq",
-    "eps12mfwd_qavg", "eps12mfwd_eoq", "eps_lt", "peforw_qavg", "peforw_eoq",
-]
 
 
 def _union(frames: list[DataFrame]) -> DataFrame:
@@ -41,23 +37,22 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p3_merged(spark: SparkSession, folder: str) -> DataFrame:
-    """The surviving record of every group with its gaps filled field by field."""
-    return survivors.merged_records(table(spark, folder, "corpus"), table(spark, folder, "call_feeds"), _ATTRIBUTES)
+    """The surviving record of every group, with its gaps filled field by field and its transcript."""
+    corpus = table(spark, folder, "corpus")
+    attributes = [c for c in corpus.columns if c not in (*survivors.CALL, "corpus_id", "feed", "loaded_at")]
+    return survivors.with_transcripts(survivors.merged_records(corpus, table(spark, folder, "call_feeds"), attributes), corpus)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
-    found, cuts = [], {}
-    for name, key in _TEXTS:
-        cuts[name] = truncation.cut_records(table(spark, folder, name), key, "transcript", "feed")
-        found.append(_named(name, cuts[name]))
-    features, corpus = table(spark, folder, "tech_uncertainty_features"), table(spark, folder, "corpus")
-    counted = truncation.counted_on_cut(features, "feature_id", "corpus_id", "total_tokens_qa", corpus, "corpus_id", "transcript", cuts["corpus"])
-    return _union([*found, _named("tech_uncertainty_features", counted)])
+    recent = truncation.cut_records(table(spark, folder, "recent_corpus"), "recent_id", "transcript", "feed")
+    cut = truncation.cut_records(table(spark, folder, "corpus"), "corpus_id", "transcript", "feed", recount=True)
+    corpus, counted = truncation.with_counts(cut, table(spark, folder, "tech_uncertainty_features"), "feature_id", "corpus_id", "total_tokens_qa")
+    return _union([_named("corpus", corpus), _named("recent_corpus", recent), _named("tech_uncertainty_features", counted)])
 
 
 def p4_limits(spark: SparkSession, folder: str) -> DataFrame:
     """The hidden storage limits of each feed, by encoding."""
-    return _union([_named(name, truncation.storage_limits(truncation.open_endings(table(spark, folder, name), key, "transcript", "feed"))) for name, key in _TEXTS])
+    return _union([_named(name, truncation.storage_limits(truncation.length_piles(table(spark, folder, name), "transcript", "feed"))) for name, _ in _TEXTS])
 
 
 def p4_shares(spark: SparkSession, folder: str) -> DataFrame:

@@ -48,3 +48,20 @@ def test_gaps_filled(spark):
     rows = [row(1, sector=None), row(2, sector="Energy", feed="poor", text=None), row(3, sector="Other", feed="poor", text=None, at=datetime(2023, 1, 1))]
     got = S.merged_records(spark.createDataFrame(rows, SCHEMA), feeds(spark), ["sector", "extra"]).first()
     assert (got.corpus_id, got.sector, got.extra, got.n_records) == (1, "Energy", None, 3)
+
+
+def test_doubles_are_compared_whole():
+    far = "x" * 700 + CALL + "y" * 700
+    assert S.complete(far) and not S.repeated(far) and S.complete(CALL) and not S.repeated(CALL)
+    for text in (CALL + "\n\n" + CALL, CALL + CALL[: len(CALL) // 2], f"{CALL}\n{CALL}\n{CALL}", "abcabc"):
+        assert S.repeated(text), text
+    # A start that happens to come again is no second copy.
+    assert not S.repeated("We grew. " * 9 + CALL + "We grew. " * 9 + "and so on") and not S.repeated("") and not S.repeated("ab")
+    assert not S.complete(CALL.replace("welcome to", "")) and not S.complete("this concludes the program. welcome to")
+
+
+def test_the_transcript_survives_with_its_record(spark):
+    rows = [row(1, text=None, feed="good"), row(2, feed="poor"), row(2, feed="poor")]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = S.with_transcripts(S.merged_records(df, feeds(spark), ["sector"]), df).first()
+    assert (got.corpus_id, got.transcript, got.n_records) == (2, CALL, 3)

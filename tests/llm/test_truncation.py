@@ -12,7 +12,7 @@ END = "Operator: Ladies and gentlemen, this concludes the program."
         (END + "\n(c) harborwire transcripts", "whole"), (END + "\n\n— END —", "whole"), (END + "\n\nâ€” END â€”", "whole"), (END + "\n[Call ends]", "whole"),
         (END + "\n\nCall participants:\n\nA B -- Chief Operating Officer", "whole"), ("this - um - concludes uh... the program", "whole"), ("Thank you. um...", "whole"), ("With that, we're ready for questions.", "whole"),
         ("and the feedback is", "cut"), ("the timing of la", "cut"), ("that's a good question. In [truncated]", "cut"), ("to say th...", "cut"), ("likely to last…", "cut"), ("another (more)", "cut"),
-        ("C&hellip;", "cut"), ("revenue grew 6.", "number"), ("Jane Doe:", "cut"), ("", "whole"), (None, "whole"),
+        ("C&hellip;", "cut"), ("revenue grew 6.", "doubtful"), ("as we told Acme Inc.", "doubtful"), ("thanks to Mr.", "doubtful"), ("That is it.", "whole"), ("Jane Doe:", "cut"), ("", "whole"), (None, "whole"),
     ],
 )
 def test_endings(tail, kind):
@@ -30,9 +30,8 @@ def records(n=40):
 
 def test_limits_and_records(spark):
     df = spark.createDataFrame(records(), "id bigint, body string, feed string")
-    ends = X.open_endings(df, "id", "body", "feed")
-    limits = {(r.source, r.encoding): r.size for r in X.storage_limits(ends).collect()}
-    assert limits["short", "chars"] == 200 and ("plain", "chars") not in limits
+    limits = {(r.source, r.encoding): r.size for r in X.storage_limits(X.length_piles(df, "body", "feed")).collect()}
+    assert limits["short", "chars"] == 200
     found = {r.rec_id for r in X.cut_records(df, "id", "body", "feed").collect()}
     # The number at the limit is a cut, the one far from any limit isn't.
     assert found == {*range(20), 900, 903}
@@ -43,18 +42,34 @@ def test_limits_and_records(spark):
 
 def test_lengths(spark):
     text = 'a\n"é😀<&>'
-    row = spark.createDataFrame([(text,)], "t string").select(*(c.alias(n) for n, c in X.encoded_lengths(X.F.col("t")).items())).first()
-    assert row.chars == len(text) and row.utf8 == len(text.encode()) and row.utf16 == len(text.encode("utf-16-le")) // 2
-    assert row.crlf == len(text.replace("\n", "\r\n"))
+    row = {e.encoding: e.size for e in X.with_lengths(spark.createDataFrame([(text,)], "t string"), "t", []).first().sizes}
+    assert row["chars"] == len(text) and row["utf8"] == len(text.encode()) and row["utf16"] == len(text.encode("utf-16-le")) // 2
+    assert row["crlf"] == len(text.replace("\n", "\r\n"))
     import html
     import json
 
-    assert row.html == len(html.escape(text)) and row.json == len(json.dumps(text, ensure_ascii=False)) - 2
+    assert row["html"] == len(html.escape(text)) and row["json"] == len(json.dumps(text, ensure_ascii=False)) - 2
 
 
 def test_counts_from_cut_texts(spark):
     talk = "word " * 300
     texts = spark.createDataFrame([(1, talk + "Question-and-Answer Session " + "one two " * 20 + "thr", "f"), (2, talk, "f")], "corpus_id bigint, transcript string, feed string")
-    cut = X.cut_records(texts, "corpus_id", "transcript", "feed")
+    cut = X.cut_records(texts, "corpus_id", "transcript", "feed", recount=True)
     rows = spark.createDataFrame([(10, 1, 45), (11, 1, 80), (12, 1, None), (13, 2, 45), (14, None, 45)], "id bigint, corpus_id bigint, n bigint")
-    assert [r.rec_id for r in X.counted_on_cut(rows, "id", "corpus_id", "n", texts, "corpus_id", "transcript", cut).collect()] == [10]
+    records, counted = X.with_counts(cut, rows, "id", "corpus_id", "n")
+    assert sorted(r.rec_id for r in records.collect()) == [1, 2] and [r.rec_id for r in counted.collect()] == [10]
+
+
+def test_a_source_with_two_limits_keeps_both(spark):
+    rows = [(k, "a" * 99 + "x", "two") for k in range(9)] + [(10 + k, "b" * 249 + "y", "two") for k in range(6)] + [(100 + k, "c" * (300 + 7 * k), "two") for k in range(30)]
+    limits = X.storage_limits(X.length_piles(spark.createDataFrame(rows, "id bigint, body string, feed string"), "body", "feed")).where("encoding = 'chars'")
+    assert sorted((r.size, r.at) for r in limits.collect()) == [(100, 9), (250, 6)]
+
+
+def test_long_lists_and_notes_are_set_aside():
+    people = "\n".join(f"Person Number{k} -- Bank of Somewhere -- Analyst" for k in range(200))
+    assert X.ending_kind(f"{END}\n\nCall participants:\n\n{people}") == "whole"
+    assert X.ending_kind(f"We think that\n\nCall participants:\n\n{people}") == "cut"
+    # A list at the top doesn't hide what follows.
+    assert X.ending_kind(f"Call participants:\n{people}\n\nOperator: Good day and welcome to the first quarter call of this company, all lines are muted until we") == "cut"
+    assert X.ending_kind(END + "\n***" * 2000) == "whole" and X.ending_kind("and so we" + "\n***" * 2000) == "cut"
