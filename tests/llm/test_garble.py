@@ -27,6 +27,43 @@ def test_correct_text_is_left_alone():
         assert not G.is_garbled(fine), fine
 
 
+@pytest.mark.parametrize("first", G.WRONG_DECODERS)
+@pytest.mark.parametrize("second", G.WRONG_DECODERS)
+def test_chains_of_two_decoders(first, second):
+    plain = "Célia said we’re fine — João and Müller, €40"
+    bad = G._decode(G._decode(plain.encode(), first).encode(), second)
+    assert G.is_garbled(bad) and G.restore(bad)[0] == plain
+
+
+@pytest.mark.parametrize("codec", G.WRONG_DECODERS)
+def test_emoji_and_kana(codec):
+    plain = "good 😀 day, コール です"
+    assert G.restore(G._decode(plain.encode(), codec))[0] == plain
+
+
+@pytest.mark.parametrize("codec", ["cp1252", "latin-1"])
+def test_ideographs(codec):
+    plain = "取締役会 says 안녕"
+    assert G.restore(G._decode(plain.encode(), codec))[0] == plain
+
+
+@pytest.mark.parametrize(("true", "wrong"), [("cp1252", "cp437"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp1253")])
+def test_one_single_byte_encoding_read_as_another(true, wrong):
+    plain = "Célia and Noël met Rénée"
+    bad = plain.encode(true).decode(wrong)
+    assert G.is_garbled(bad) and G.restore(bad)[0] == plain
+    assert G.is_garbled("Müller".encode("cp1252").decode("mac_roman"))
+
+
+def test_cyrillic():
+    plain = "Наш отчёт готов"
+    assert G.restore(plain.encode("cp1251").decode("latin-1"))[0] == plain
+    assert G.restore(plain.encode("koi8-r").decode("cp1251"))[0] == plain
+    assert G.restore(G._decode(plain.encode(), "cp1251"))[0] == plain
+    for fine in ("Рёбра и Рёв", "Γειά σου, Δx and kΩ", plain, "åäö ÅÄÖ", "col·lapse", "C'est vrai ? Oui.", "C'est vrai ? demanda-t-il.", "Vous venez ? oui"):
+        assert not G.is_garbled(fine) and G.restore(fine)[0] == fine, fine
+
+
 def test_lost_characters():
     for bad in ("we don?t see", "Bj?rn said", "NO?L spoke", "Thanks, Zo?, and", "cautious ? but fine", "we�re", "it\x92s"):
         assert G.is_garbled(bad), bad
