@@ -23,8 +23,7 @@ def _named(name: str, df: DataFrame) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:
-    found = turns.speaker_turns(table(spark, folder, "recent_corpus"), table(spark, folder, "call_speakers"), with_text=False)
-    return found.select("recent_id", "turn_no", "speaker")
+    return p2_turns(spark, folder).select("recent_id", "turn_no", "speaker")
 
 
 def p2_turns(spark: SparkSession, folder: str) -> DataFrame:

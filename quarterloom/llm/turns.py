@@ -1,19 +1,22 @@
 """Raw speech transcripts into clean speaker turns in spoken order.
 
-A transcript is read by small grammars (module peg): stamps, nested annotations, hesitation, and the heads of turns in
-each layout (line labels with or without stamps, angle and voice tags, bold names, name lines of their own, labels in
-running text). The parse gives a list of heads with what follows each; labels are then brought to the spelling of the
-directory of people who can speak for the ticker. A head whose label is nobody's is no head: its words go on with the turn
-before. Heads without any word besides hesitation and annotations are no turns, and neighbouring turns of one speaker
-are one.
+A transcript is parsed into a tree by a grammar (module peg): a transcript is made of turns and stretches that are nobody's; a turn has a
+label, a stamp if there is one, and speech; speech is made of words, annotations within annotations to any depth and length, stamps,
+hesitation and closing notes. The heads of turns differ by layout (line labels with or without stamps, angle and voice tags, bold
+names, name lines of their own, labels in running text). The tree is then transformed: turns are put in spoken order, labels brought to the
+spelling of the directory of people who can speak for the ticker, and speech reduced to its words. A head whose label is
+nobody's is no head: its words go on with the turn before. Turns without any word are none, and neighbouring turns of one
+speaker are one.
 
 Null and empty transcripts have no turns. Wrongly decoded transcripts are restored before they are read. Speech before the
 first head has no speaker and is left out. A ticker without directory keeps Operator and Unidentified Analyst only.
 Repeated rows of the directory count once; two people of a ticker with the same short form are told apart by longer forms only.
+A turn whose words are all fillers ("You know...") has no clean speech and is none.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -24,11 +27,15 @@ from pyspark.sql import functions as F
 
 from quarterloom.llm import peg
 from quarterloom.llm.garble import restore, suspects
-from quarterloom.sources import spread
+from quarterloom.llm.peg import Node
+from quarterloom.llm.truncation import without_list
 
 OPERATOR, UNIDENTIFIED = "Operator", "Unidentified Analyst"
 #: How far on, in seconds, a text must be for a stamp like its first to mean that it starts over.
 RESTART = 90
+#: People of a directory up to which it goes to every task, and tickers whose forms of names a task keeps.
+PEOPLE_SENT, KEPT = 300_000, 500
+_TURNS = "recent_id bigint, turn_no bigint, speaker string, text string"
 # Sounds and fillers of hesitation, headings, notes that close a transcript, short forms of titles.
 SOUNDS = r"um+|uh+m?|uhm+|er+m?|ah+|h?mm+|mhm|hm+"
 FILLERS = r"you know|i mean|sort of|kind of|like"
@@ -39,26 +46,23 @@ NOTES = r"\*{3,}|[—–-]+ ?END ?[—–-]+|\[call ends\]|end of transcript|dur
 # Grammar of small parts.
 _TIME = r"\d{1,2}:\d\d(?::\d\d)?(?:[.,]\d{1,3})?"
 STAMP = peg.seq(r"[\[(]?", _TIME, r"[\])]?")
-ANNOTATION = peg.nested(
-    lambda inner: peg.choice(
-        peg.seq(r"\[", peg.many(peg.choice(inner, r"[^\[\]\n]")), r"\]"),
-        peg.seq(r"\(", peg.many(peg.choice(inner, r"[^()\n]"), 0, 60), r"\)"),
-        peg.seq(r"\{", peg.many(peg.choice(inner, r"[^{}\n]")), r"\}"),
-        peg.seq("<", peg.unless("v |[QA] - "), peg.many(peg.choice(inner, r"[^<>\n]"), 1, 40), ">"),
-        peg.seq(r"\*(?![*\s])", peg.many(r"[^*\n]", 1, 30), r"\*"),
+# Annotations of one level: tags, starred and sung parts; brackets nest (peg.annotated).
+FLAT = peg.compiled(
+    peg.choice(
+        peg.seq("<", peg.unless("v |[QA] - "), peg.many(r"[^<>\n]", 1), ">"),
+        peg.seq(r"\*(?![*\s])", peg.many(r"[^*\n]", 1), r"\*"),
         peg.seq("♪", peg.many(r"[^♪\n]"), "♪"),
     )
 )
-# What may stand where no word is: annotations, stamps, sounds, rules and all marks.
-SILENCE = peg.compiled(peg.many(peg.choice(ANNOTATION, STAMP, rf"(?:{SOUNDS})\b(?!['’])", r"[\W_]")))
-_BARE = peg.compiled(ANNOTATION)
+_FLAT_MARKS = re.compile(r"[<*♪]")
+# What may stand where no word is, once annotations are out: stamps, sounds, rules and all marks.
+SILENCE = peg.compiled(peg.many(peg.choice(STAMP, rf"(?:{SOUNDS})\b(?!['’])", r"[\W_]")))
 _FILLER = re.compile(rf"(?:(?<=\s)[-–—] (?:{SOUNDS}|{FILLERS}) [-–—](?=\s)|\b(?:{SOUNDS})\b(?:\.\.\.|…|,)?|(?<=\s)(?:{FILLERS})(?:\.\.\.|…)|(?<=[\s,])(?:you know|i mean|sort of),?(?=\s))", re.I)
 _NOTE = re.compile(rf"\s*(?:^|\n|(?<=[.?!] ))(?:{NOTES})\.?\s*$", re.I)
 _NOTE_LINE = re.compile(rf"(?:{NOTES})s?\.?", re.I)
-_LIST = re.compile(r"\n\s*(?:call |conference )?participants:?\s*\n[\s\S]*$", re.I)
 
 # Heads of turns at the start of a line.
-_NAME = r"[^\n<>*:]{1,70}"
+_NAME = r"[^\n<>*:]+"
 HEAD = peg.compiled(
     peg.choice(
         peg.seq("<v(?:\\.[^ >]*)? ", peg.node("voice", r"[^>\n]*"), ">"),
@@ -70,10 +74,22 @@ HEAD = peg.compiled(
 CUE = peg.compiled(peg.seq(peg.node("start", _TIME), r" ?--> ?", _TIME))
 _STOPS = (". ", "? ", "! ", "… ", "] ", ") ", "} ", "> ", "* ", "♪ ", '" ', "” ", "- ")
 _ENDS = re.compile(r"[.?!:…]$")
+_STAMPS = re.compile(rf"(?m)^{STAMP}\s*")
 
 
 def has_words(speech: str) -> bool:
-    return SILENCE.match(speech).end() < len(speech)
+    """Whether there is a word besides annotations, stamps and sounds."""
+    plain = unannotated(speech)
+    return SILENCE.match(plain).end() < len(plain)
+
+
+def unannotated(speech: str) -> str:
+    """The speech with a blank for every annotation."""
+    if _FLAT_MARKS.search(speech):
+        speech = FLAT.sub(" ", speech)
+    if "[" in speech or "(" in speech or "{" in speech:
+        speech = "".join(p if isinstance(p, str) else " " for p in peg.annotated(speech).parts)
+    return speech
 
 
 def _heading(line: str) -> bool:
@@ -87,56 +103,64 @@ def seconds(stamp: str) -> float:
     return total
 
 
-def heads(text: str) -> list[tuple[str | None, str]]:
-    """(label, what follows) in spoken order; a label of None opens a stretch that is nobody's speech.
-
-    Where heads are stamped, their stamps give the order; a head without stamp stays behind the one before it. A text that
-    starts over, with a stamp back near its first, goes on as another part.
-    """
+def parse(text: str) -> Node:
+    """transcript <- (turn / aside)*: the tree of a transcript. An aside is a stretch under a heading or before the first head."""
     if "\r" in text:
         text = text.replace("\r\n", "\n").replace("\r", "\n")
     lines = text.split("\n")
     first = next((x for x in lines if x.strip() and not _heading(x) and has_words(x)), "")
     tagged = "<v " in text or "<A - " in text or "<Q - " in text or "**" in first
-    name_lines = not tagged and not HEAD.match(first) and len(first) <= 90 and not _ENDS.search(first.rstrip())
+    name_lines = not tagged and not HEAD.match(first) and not _ENDS.search(first.rstrip())
     running = not tagged and not name_lines and _is_running(lines)
-    out: list[tuple[str | None, list[str]]] = [(None, [])]
-    stamps: dict[int, float] = {}
+    root = Node("transcript", [Node("aside")])
+    here: list = root.parts
     cue: float | None = None
     for line in lines:
         bare = line.strip()
         if not bare:
-            out[-1][1].append("\n")
-            continue
-        if _heading(line):
+            here[-1].parts.append("\n")
+        elif _heading(line):
             # What a heading is followed by, up to the next head, is no speech; in lists of people there is none.
-            out.append((None, []))
-            continue
-        if "-->" in line and (m := CUE.match(bare)):
+            here.append(Node("aside"))
+        elif "-->" in line and (m := CUE.match(bare)):
             cue = seconds(m["start"])
-            continue
-        if len(bare) < 60 and _NOTE_LINE.fullmatch(bare):
-            continue
-        if name_lines:
-            if len(bare) <= 90 and not _ENDS.search(bare) and "[" not in bare[:1]:
-                out.append((bare, []))
+        elif _NOTE_LINE.fullmatch(bare):
+            pass
+        elif name_lines:
+            if not _ENDS.search(bare) and bare[0] != "[" and _may_be_name(bare):
+                here.append(Node("turn", [], bare))
             else:
-                out[-1][1].append(line)
-            continue
-        if running:
-            _split_running(line, out)
-            continue
-        m = HEAD.match(line)
-        if m:
+                here[-1].parts.append(line)
+        elif running:
+            _split_running(line, here)
+        elif m := HEAD.match(line):
             stamp = m["before"] or m["after"]
-            if stamp or cue is not None:
-                stamps[len(out)] = seconds(stamp) if stamp else cue
+            here.append(Node("turn", [line[m.end() :]], m["voice"] or m["side"] or m["bold"] or m["line"] or "", seconds(stamp) if stamp else cue))
             cue = None
-            out.append((m["voice"] or m["side"] or m["bold"] or m["line"] or "", [line[m.end() :]]))
         else:
-            out[-1][1].append(line)
-    order = _spoken_order(len(out), stamps) if len(stamps) > 1 else range(len(out))
-    return [(out[i][0], "\n".join(out[i][1])) for i in order]
+            here[-1].parts.append(line)
+    return root
+
+
+def _may_be_name(line: str) -> bool:
+    """A line of its own that can be a name: short, or in parts set off by dashes (name, title, firm)."""
+    return max(len(part) for part in line.split(" -- ")) <= 90
+
+
+def ordered(tree: Node) -> list[Node]:
+    """The turns and asides in spoken order.
+
+    Where heads are stamped, their stamps give the order; a head without stamp stays behind the one before it. A text that
+    starts over, with a stamp back near its first, goes on as another part.
+    """
+    stamps = {i: node.at for i, node in enumerate(tree.parts) if node.at is not None}
+    order = _spoken_order(len(tree.parts), stamps) if len(stamps) > 1 else range(len(tree.parts))
+    return [tree.parts[i] for i in order]
+
+
+def heads(text: str) -> list[tuple[str | None, str]]:
+    """(label, speech) in spoken order; a label of None opens a stretch that is nobody's speech."""
+    return [(node.label, "\n".join(node.parts)) for node in ordered(parse(text))]
 
 
 def _spoken_order(n: int, stamps: dict[int, float]) -> list[int]:
@@ -154,17 +178,13 @@ def _spoken_order(n: int, stamps: dict[int, float]) -> list[int]:
 
 
 def _is_running(lines: list[str]) -> bool:
-    """Running text: a line holds several labels. Where that line is short, as in a text cut early, no other line may open
-    with a head and its own may have no stamp: those are lines of one turn each with colons in their speech."""
-    labels = lambda line: sum(_label(piece) is not None for piece in line.split(": ")[:-1])
-    longest = max(lines, key=len)
-    if len(longest) >= 700:
-        return labels(longest) >= 2
-    counts = [labels(line) for line in lines]
+    """Running text: a line holds several labels, no other line opens with a head, and its own has no stamp. (Else they are lines
+    of one turn each with colons in their speech.)"""
+    counts = [sum(_label(piece) is not None for piece in line.split(": ")[:-1]) for line in lines]
     fullest = counts.index(max(counts))
     if counts[fullest] < 2 or any("-->" in line for line in lines):
         return False
-    opening = [(i, m) for i, line in enumerate(lines) if not _heading(line) and not _NOTE_LINE.fullmatch(line.strip()) and (m := HEAD.match(line))]
+    opening = [(i, m) for i, line in enumerate(lines) if not _heading(line) and not _NOTE_LINE.fullmatch(line.strip()) and (m := HEAD.match(line)) and len(m["line"] or "") <= 70]
     return all(i == fullest and not m["before"] for i, m in opening)
 
 
@@ -175,16 +195,16 @@ def _label(piece: str) -> str | None:
     return label if 0 < len(label) <= 70 and label.count(" ") <= 7 and not label[0].isdigit() else None
 
 
-def _split_running(line: str, out: list) -> None:
+def _split_running(line: str, out: list[Node]) -> None:
     pieces = line.split(": ")
     for piece in pieces[:-1]:
         label = _label(piece)
         if label is None:
-            out[-1][1].append(piece + ":")
+            out[-1].parts.append(piece + ":")
         else:
-            out[-1][1].append(piece[: len(piece) - len(label)])
-            out.append((label, []))
-    out[-1][1].append(pieces[-1])
+            out[-1].parts.append(piece[: len(piece) - len(label)])
+            out.append(Node("turn", [], label))
+    out[-1].parts.append(pieces[-1])
 
 
 def fold(name: str) -> str:
@@ -217,7 +237,7 @@ class Directory:
 
     def __init__(self, people: list[tuple[str, str | None]]):
         forms: dict[str, set[str]] = {}
-        full: dict[str, set[str]] = {}
+        self._whole: list[tuple[str, str]] = []
         add = lambda form, name: forms.setdefault(form, set()).add(name)
         self.titles: dict[str, set[str]] = {}
         self.words: set[str] = set()
@@ -234,20 +254,26 @@ class Directory:
             # Lost characters: the forms without any letter beyond ASCII.
             for form in (name, name.split(" ")[-1]):
                 add("\0" + re.sub(r"[^a-z ]", "", form.casefold()), name)
-            for form in (folded, last, f"{last} {first}"):
-                for cut in _shorter(form) | {form}:
-                    full.setdefault(cut, set()).add(name)
+            self._whole += [(form, name) for form in (folded, last, f"{last} {first}")]
         self.forms = {form: next(iter(names)) for form, names in forms.items() if len(names) == 1}
-        self.near = {form: next(iter(names)) for form, names in full.items() if len(names) == 1}
         self.known: dict[str, str | None] = {}
 
+    @functools.cached_property
+    def near(self) -> dict[str, str]:
+        """Names by every form that lacks one character at most; worked out when a label first needs it."""
+        full: dict[str, set[str]] = {}
+        for form, name in self._whole:
+            for cut in _shorter(form) | {form}:
+                full.setdefault(cut, set()).add(name)
+        return {form: next(iter(names)) for form, names in full.items() if len(names) == 1}
+
     def name(self, label: str) -> str | None:
         if label not in self.known:
             self.known[label] = self._name(label)
         return self.known[label]
 
     def _name(self, label: str) -> str | None:
-        label = _BARE.sub(lambda m: m.group() if m.group().startswith("(") else " ", label).strip(" *>#\t")
+        label = "".join(p if isinstance(p, str) else p.text() if p.parts[0] == "(" else " " for p in peg.annotated(FLAT.sub(" ", label)).parts).strip(" *>#\t")
         label = re.sub(r"^(?:[QA] ?- ?|>> ?)", "", label)
         label = label.split(" -- ")[0].split(" – ")[0].split(" — ")[0]
         role = None
@@ -317,83 +343,110 @@ class Directory:
 
 def clean(speech: str) -> str:
     """Speech without annotations, stamps and hesitation, in one line."""
-    speech = _LIST.sub("", speech)
-    speech = _NOTE.sub("", speech)
-    speech = _FILLER.sub(" ", _BARE.sub(" ", re.sub(rf"(?m)^{STAMP}\s*", "", speech)))
+    speech = _NOTE.sub("", without_list(speech))
+    speech = _FILLER.sub(" ", unannotated(_STAMPS.sub("", speech)))
     speech = re.sub(r"\s+", " ", speech)
     return re.sub(r" ([,.;:?!])", r"\1", speech).strip(" -–—")
 
 
-def assemble(people: Directory, labels: list[str | None], spoken: list[bool], speech: list[str] | None = None) -> list[tuple[str, str]]:
-    """(speaker, text) of each turn from heads in order; without speech the texts are empty."""
-    turns: list[list] = []
-    current: list | None = None  # speaker, whether there are words, texts
-    for i, (label, words) in enumerate(zip(labels, spoken, strict=True)):
-        said = speech[i] if speech else ""
+def assemble(people: Directory, labels: list[str | None], speech: list[str]) -> list[tuple[str, str]]:
+    """(speaker, text) of each turn, from labels and clean speech in order."""
+    turns: list[tuple[str, list[str]]] = []
+    current: list[str] | None = None
+    for label, said in zip(labels, speech, strict=True):
         name = people.name(label) if label is not None else None
-        if name is None:
-            # A stretch under a heading is nobody's; an unknown label is part of the speech before it.
-            if label is None:
-                current = None
-            elif current is not None:
-                current[1] = current[1] or words or has_words(label)
-                current[2].append(f"{label}: {said}" if said.strip() else label)
-            continue
-        current = [name, words, [said]]
-        turns.append(current)
+        if name is not None:
+            current = [said]
+            turns.append((name, current))
+        elif label is None:
+            # A stretch under a heading is nobody's.
+            current = None
+        elif current is not None:
+            # An unknown label is part of the speech before it.
+            current.append(f"{unannotated(label).strip()}: {said}" if said.strip() else unannotated(label).strip())
     out: list[tuple[str, str]] = []
-    for name, words, texts in turns:
-        if not words:
+    for name, texts in turns:
+        said = " ".join(t for t in texts if t)
+        if SILENCE.match(said).end() == len(said):
             continue
-        said = clean(" ".join(texts)) if speech else ""
         if out and out[-1][0] == name:
-            out[-1] = (name, f"{out[-1][1]} {said}".strip())
+            out[-1] = (name, f"{out[-1][1]} {said}")
         else:
             out.append((name, said))
     return out
 
 
-def _parsed(with_text: bool):
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("__text")
-            doubtful = suspects(texts)
-            labels, spoken, speech = [], [], []
-            for row, one in enumerate(texts):
-                value = one.as_py() or ""
-                found = heads(restore(value)[0] if doubtful[row] else value)
-                labels.append([x for x, _ in found])
-                spoken.append([has_words(x) for _, x in found])
-                speech.append([x for _, x in found] if with_text else None)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("__id"), batch.column("__ticker"), pa.array(labels, pa.list_(pa.string())), pa.array(spoken, pa.list_(pa.bool_())), pa.array(speech, pa.list_(pa.string()))],
-                names=["__id", "__ticker", "labels", "spoken", "speech"],
-            )
-
-    return parse
+def _utterances(texts: pa.Array) -> Iterator[tuple[list[str | None], list[str]]]:
+    """Labels and clean speech of each transcript, in spoken order."""
+    doubtful = suspects(texts)
+    for row, value in enumerate(texts.to_pylist()):
+        nodes = ordered(parse(restore(value or "")[0] if doubtful[row] else value or ""))
+        yield [n.label for n in nodes], [clean("\n".join(n.parts)) for n in nodes]
+
+
+_LISTS = pa.list_(pa.string())
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        labels, speech = zip(*_utterances(batch.column("__text")), strict=True) if batch.num_rows else ((), ())
+        yield pa.RecordBatch.from_arrays([batch.column("__id"), batch.column("__ticker"), pa.array(labels, _LISTS), pa.array(speech, _LISTS)], names=["__id", "__ticker", "labels", "speech"])
+
+
+def _turn_batch(rows: list[tuple[int, int, str, str]]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["recent_id", "turn_no", "speaker", "text"])
 
 
 def _resolved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ticker, people = None, Directory([])
     for batch in batches:
-        ids, numbers, speakers, texts = [], [], [], []
+        rows: list[tuple] = []
         for row in batch.to_pylist():
             if row["__ticker"] != ticker:
                 ticker = row["__ticker"]
                 people = Directory([(p["speaker"], p["title"]) for p in row["people"] or [] if p["speaker"]])
-            for number, (name, said) in enumerate(assemble(people, row["labels"], row["spoken"], row["speech"]), 1):
-                ids.append(row["__id"])
-                numbers.append(number)
-                speakers.append(name)
-                texts.append(said)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(numbers, pa.int64()), pa.array(speakers, pa.string()), pa.array(texts, pa.string())], names=["recent_id", "turn_no", "speaker", "text"])
-
-
-def speaker_turns(records: DataFrame, speakers: DataFrame, key: str = "recent_id", ticker: str = "ticker", text: str = "transcript", with_text: bool = True) -> DataFrame:
-    """recent_id, turn_no, speaker, text of every turn. Transcripts are parsed where they are read; only labels (and texts,
-    if wanted) go on to meet the ticker's directory, a short list of people per ticker."""
-    raw = spread(records.select(F.col(f"`{key}`").cast("bigint").alias("__id"), F.col(f"`{ticker}`").alias("__ticker"), F.col(f"`{text}`").alias("__text"))).where("length(__text) > 0")
-    parsed = raw.mapInArrow(_parsed(with_text), "__id bigint, __ticker string, labels array<string>, spoken array<boolean>, speech array<string>")
-    directory = speakers.where("speaker is not null").groupBy(F.col("ticker").alias("__ticker")).agg(F.sort_array(F.collect_set(F.struct("speaker", "title"))).alias("people"))
-    joined = parsed.join(directory, "__ticker", "left").select("__id", "__ticker", "labels", "spoken", "speech", "people")
-    return joined.mapInArrow(_resolved, "recent_id bigint, turn_no bigint, speaker string, text string")
+            rows += [(row["__id"], number, *turn) for number, turn in enumerate(assemble(people, row["labels"], row["speech"]), 1)]
+        yield _turn_batch(rows)
+
+
+def _beside(shared):
+    """Parsing and naming where a transcript is read, with the whole directory at hand."""
+    ready: list[dict[str, Directory]] = []
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str | None, Directory] = {}
+        for batch in batches:
+            if not ready:
+                ready.append(dict(shared.value))
+            tickers, ids = batch.column("__ticker").to_pylist(), batch.column("__id").to_pylist()
+            rows: list[tuple] = []
+            for key, ticker, (labels, speech) in zip(ids, tickers, _utterances(batch.column("__text")), strict=True):
+                if ticker not in known:
+                    if len(known) >= KEPT:
+                        known.clear()
+                    known[ticker] = Directory(ready[0].get(ticker, []))
+                rows += [(key, number, *turn) for number, turn in enumerate(assemble(known[ticker], labels, speech), 1)]
+            yield _turn_batch(rows)
+
+    return run
+
+
+def speaker_turns(records: DataFrame, speakers: DataFrame, key: str = "recent_id", ticker: str = "ticker", text: str = "transcript", sent: int = PEOPLE_SENT) -> DataFrame:
+    """recent_id, turn_no, speaker, text of every turn.
+
+    A directory of at most ``sent`` people goes to every task, and nothing is shuffled; a larger one meets the parsed
+    transcripts in a join by ticker, with the same result.
+    """
+    raw = records.select(F.col(f"`{key}`").cast("bigint").alias("__id"), F.col(f"`{ticker}`").alias("__ticker"), F.col(f"`{text}`").alias("__text")).where("length(__text) > 0")
+    known = speakers.where("speaker is not null and ticker is not null").select(F.col("ticker").alias("__ticker"), "speaker", "title").distinct()
+    if known.count() <= sent:
+        lists: dict[str, list[tuple[str, str | None]]] = {}
+        for r in sorted(known.collect(), key=lambda r: (r[0], r.speaker, r.title or "")):
+            lists.setdefault(r[0], []).append((r.speaker, r.title))
+        return raw.mapInArrow(_beside(records.sparkSession.sparkContext.broadcast(lists)), _TURNS)
+    parsed = raw.mapInArrow(_parsed, "__id bigint, __ticker string, labels array<string>, speech array<string>")
+    directory = known.groupBy("__ticker").agg(F.sort_array(F.collect_list(F.struct("speaker", "title"))).alias("people"))
+    joined = parsed.join(directory, "__ticker", "left").select("__id", "__ticker", "labels", "speech", "people")
+    return joined.mapInArrow(_resolved, _TURNS)

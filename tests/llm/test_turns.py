@@ -8,7 +8,7 @@ D = T.Directory(PEOPLE)
 
 def parsed(text):
     found = T.heads(text)
-    return T.assemble(D, [a for a, _ in found], [T.has_words(b) for _, b in found], [b for _, b in found])
+    return T.assemble(D, [a for a, _ in found], [T.clean(b) for _, b in found])
 
 
 @pytest.mark.parametrize(
@@ -88,4 +88,30 @@ def test_frames(spark):
         by.setdefault(r.recent_id, []).append((r.speaker, r.text))
     assert by[1] == [t for t in WANTED for _ in (0, 1)]
     assert by[4] == [("Operator", "Hi.")] and by[5] == [("Operator", "Hi. Jane: Yes.")] and [n for n, _ in by[6]] == [n for n, _ in WANTED]
+    # Beyond the bound the directory is joined: the same turns.
+    assert sorted(map(tuple, T.speaker_turns(rows, people, sent=0).collect())) == sorted(map(tuple, got))
     assert T.speaker_turns(rows.limit(0), people).count() == 0 and T.speaker_turns(rows, people.limit(0)).count() > 0
+
+
+def test_annotations_of_any_depth_and_length():
+    assert T.clean("We [a [b [c [d [e [f [g]]]]]]] grew") == "We grew"
+    assert T.clean("We (" + "applause and more " * 50 + ") grew <" + "x" * 300 + "> by *" + "cheers " * 30 + "* ten") == "We grew by ten"
+    # Brackets that nothing closes in their line are text.
+    assert T.clean("We (grew] a lot\nand so on) here") == "We (grew] a lot and so on) here"
+    assert T.clean("[" * 50_000) == "[" * 50_000 and T.clean("[" * 50_000 + "]" * 50_000) == ""
+
+
+def test_fillers_alone_are_no_turn():
+    assert parsed("Operator: Good day.\nInés Josphiex: You know...\nCélia Torneth: uh like...\nOperator: Next.") == [("Operator", "Good day. Next.")]
+
+
+def test_the_tree():
+    tree = T.parse("Prepared Remarks:\n[00:00:09] Operator: Hi (all).\n00:00:03 CFO: Yes.")
+    assert [(n.rule, n.label, n.at) for n in tree.parts] == [("aside", None, None), ("aside", None, None), ("turn", "Operator", 9.0), ("turn", "CFO", 3.0)]
+    assert [n.label for n in T.ordered(tree)] == [None, None, "CFO", "Operator"]
+
+
+def test_long_labels():
+    title = "Senior Vice President of Global Treasury, Investor Relations and Strategic Planning"
+    assert parsed(f"Operator: Good day.\nBjörn Ardvenmont ({title}): Thanks.") == [("Operator", "Good day."), ("Björn Ardvenmont", "Thanks.")]
+    assert parsed(f"Operator\n\nGood day.\n\nBjörn Ardvenmont -- {title} -- A Company With a Long Name\n\nThanks.") == [("Operator", "Good day."), ("Björn Ardvenmont", "Thanks.")]
