@@ -57,8 +57,12 @@ FLAT = peg.compiled(
 _FLAT_MARKS = re.compile(r"[<*♪]")
 # What may stand where no word is, once annotations are out: stamps, sounds, rules and all marks.
 SILENCE = peg.compiled(peg.many(peg.choice(STAMP, rf"(?:{SOUNDS})\b(?!['’])", r"[\W_]")))
-_FILLER = re.compile(rf"(?:(?<=\s)[-–—] (?:{SOUNDS}|{FILLERS}) [-–—](?=\s)|\b(?:{SOUNDS})\b(?:\.\.\.|…|,)?|(?<=\s)(?:{FILLERS})(?:\.\.\.|…)|(?<=[\s,])(?:you know|i mean|sort of),?(?=\s))", re.I)
+# Each alternative begins with a look at the next letter: most places end there.
+_FILLER = re.compile(
+    rf"(?:(?<=\s)[-–—] (?:{SOUNDS}|{FILLERS}) [-–—](?=\s)|\b(?=[uehma])(?:{SOUNDS})\b(?:\.\.\.|…|,)?|\b(?=[yiskl])(?:(?<=\s)(?:{FILLERS})(?:\.\.\.|…)|(?<=[\s,])(?:you know|i mean|sort of),?(?=\s)))", re.I
+)
 _NOTE = re.compile(rf"\s*(?:^|\n|(?<=[.?!] ))(?:{NOTES})\.?\s*$", re.I)
+_NOTED = re.compile(r"\*\*\*|END|call ends|end of|uration|\(c\)|oodbye", re.I)
 _NOTE_LINE = re.compile(rf"(?:{NOTES})s?\.?", re.I)
 
 # Heads of turns at the start of a line.
@@ -343,9 +347,10 @@ class Directory:
 
 def clean(speech: str) -> str:
     """Speech without annotations, stamps and hesitation, in one line."""
-    speech = _NOTE.sub("", without_list(speech))
-    speech = _FILLER.sub(" ", unannotated(_STAMPS.sub("", speech)))
-    speech = re.sub(r"\s+", " ", speech)
+    speech = without_list(speech)
+    if _NOTED.search(speech):
+        speech = _NOTE.sub("", speech)
+    speech = " ".join(_FILLER.sub(" ", unannotated(_STAMPS.sub("", speech))).split())
     return re.sub(r" ([,.;:?!])", r"\1", speech).strip(" -–—")
 
 
