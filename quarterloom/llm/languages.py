@@ -22,8 +22,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarterloom.sources import spread
-
 FAMILIES = {"germanic": ("en", "de", "nl", "sv"), "romance": ("fr", "es", "pt", "it")}
 LATIN = tuple(x for langs in FAMILIES.values() for x in langs)
 PAIRS = tuple((a, b) for langs in FAMILIES.values() for i, a in enumerate(langs) for b in langs[i + 1 :])
@@ -42,7 +40,6 @@ _SHORT = re.compile(r"(?:\b(?:Mio|Mrd|Inc|Ltd|Co|Corp|Nr|No|Mr|Mrs|Ms|Dr|St|bzw|
 _SPEAKER = re.compile(r"^\s*(?:Analyst|Company|Operator|Q|A)\s*:\s*")
 _KANA = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
 _LATIN = re.compile(r"[a-zà-öø-ÿāăćčęěğıłńňœřśşšţůűźżž]")
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -76,11 +73,12 @@ def normal(sentence: str) -> str:
     return " " + re.sub(r"[\W\d_]+", " ", sentence.lower()).strip() + " "
 
 
-def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed runs of all texts in a row, and the text each belongs to."""
+def _grams_by_size(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each length of run, the hashed runs of all texts in a row, and the text each belongs to, in order."""
     points = np.frombuffer("\n".join(texts).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    owner = np.cumsum(points == 10)
-    hashes, owners = [], []
+    ends = points == 10
+    owner = np.cumsum(ends)
+    out = []
     for n in (2, 3, 4):
         size = len(points) - n + 1
         if size <= 0:
@@ -88,32 +86,53 @@ def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         h = np.full(size, n, np.uint64)
         inside = np.ones(size, bool)
         for k in range(n):
-            part = points[k : k + size]
-            h = h * np.uint64(1000003) + part
-            inside &= part != 10
+            h = h * np.uint64(1000003) + points[k : k + size]
+            inside &= ~ends[k : k + size]
         h = (h ^ (h >> np.uint64(15))) * np.uint64(2654435761)
-        hashes.append(((h >> np.uint64(12)) % np.uint64(BUCKETS))[inside].astype(np.int64))
-        owners.append(owner[:size][inside])
-    if not hashes:
+        out.append((((h >> np.uint64(12)) % np.uint64(BUCKETS))[inside].astype(np.int64), owner[:size][inside]))
+    return out
+
+
+def _grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """All of them in one row."""
+    parts = _grams_by_size(texts)
+    if not parts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(hashes), np.concatenate(owners)
+    return np.concatenate([h for h, _ in parts]), np.concatenate([o for _, o in parts])
+
+
+def _summed(weights: np.ndarray, parts: list[tuple[np.ndarray, np.ndarray]], size: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """The weights of each text's runs, added up; only of the wanted texts, if given."""
+    out = np.zeros((size, *weights.shape[1:]), np.float32)
+    for hashes, owners in parts:
+        if wanted is not None:
+            mine = wanted[owners]
+            hashes, owners = hashes[mine], owners[mine]
+        if len(owners):
+            starts = np.flatnonzero(np.concatenate([[True], owners[1:] != owners[:-1]]))
+            out[owners[starts]] += np.add.reduceat(weights[hashes], starts, axis=0)
+    return out
 
 
 def scores(model: Model, texts: list[str]) -> np.ndarray:
-    """The machines' values for each normalised sentence."""
+    """The machines' values for each normalised sentence: the family's first, then those of the languages inside it; the other
+    family's are left at nought."""
     out = np.zeros((len(texts), model.weights.shape[1]), np.float32)
-    step = 2000
+    half = 1 + len(FAMILIES["germanic"]) * (len(FAMILIES["germanic"]) - 1) // 2
+    columns = [(slice(1, half), np.ascontiguousarray(model.weights[:, 1:half])), (slice(half, None), np.ascontiguousarray(model.weights[:, half:]))]
+    family = np.ascontiguousarray(model.weights[:, 0])
+    step = 500
     for at in range(0, len(texts), step):
         part = texts[at : at + step]
-        hashes, owners = _grams(part)
-        order = np.argsort(owners, kind="stable")
-        hashes, owners = hashes[order], owners[order]
-        n = np.bincount(owners, minlength=len(part))
-        has = np.flatnonzero(n)
-        if len(has):
-            starts = np.concatenate([[0], np.cumsum(n[has])[:-1]])
-            sums = np.add.reduceat(model.weights[hashes], starts, axis=0)
-            out[at + has] = sums / np.sqrt(n[has])[:, None]
+        parts = _grams_by_size(part)
+        n = np.maximum(1, sum((np.bincount(owners, minlength=len(part)) for _, owners in parts), np.zeros(len(part), np.int64)))
+        root = np.sqrt(n)
+        rows = out[at : at + step]
+        rows[:, 0] = _summed(family, parts, len(part)) / root
+        germanic = rows[:, 0] + model.bias[0] > 0
+        for (where, weights), chosen in zip(columns, (germanic, ~germanic), strict=True):
+            if chosen.any():
+                rows[chosen, where] = (_summed(weights, parts, len(part), chosen) / root[:, None])[chosen]
     return out + model.bias
 
 
@@ -242,11 +261,12 @@ def segments(model: Model, texts: list[str | None]) -> list[list[tuple[str, str,
     for one in split:
         found: list[list] = []
         for sentence in one:
-            letters = len(_LETTER.findall(sentence))
-            kana = len(_KANA.findall(sentence))
+            letters = len(plain[at]) - plain[at].count(" ")
+            narrow = sentence.isascii()
+            kana = 0 if narrow else len(_KANA.findall(sentence))
             if kana * 3 >= max(1, letters):
                 found.append(["ja", 1.0, kana >= 4, sentence])
-            elif len(_LATIN.findall(plain[at])) * 2 >= max(1, letters):
+            elif (letters if narrow else len(_LATIN.findall(plain[at]))) * 2 >= max(1, letters):
                 found.append([LATIN[best[at]], float(sure[at]), letters >= LETTERS and sure[at] >= CERTAIN and " " in plain[at].strip(), sentence])
             else:
                 found.append([None, 0.0, False, sentence])
@@ -285,7 +305,8 @@ _SEGMENTS = "doc_id bigint, label string, n_langs int, segment_no int, lang stri
 
 
 def language_segments(documents: DataFrame, key: str = "doc_id", text: str = "text", label: str = "lang", with_text: bool = True, model: Model | None = None) -> DataFrame:
-    """Every segment: doc_id, label (the code its label names, or null), n_langs of its text, segment_no, lang, confidence, text."""
+    """Every segment: doc_id, label (the code its label names, or null), n_langs of its text, segment_no, lang, confidence, text.
+    Without texts, one row per document and language. Repeated rows come out each."""
     machine = model or fitted(documents, key, text, label)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,13 +317,16 @@ def language_segments(documents: DataFrame, key: str = "doc_id", text: str = "te
                 part = texts.slice(at, 500).to_pylist()
                 for doc, named, runs in zip(ids.slice(at, 500).to_pylist(), labels.slice(at, 500).to_pylist(), segments(machine, part), strict=True):
                     many = len({lang for lang, _, _ in runs})
+                    if not with_text:
+                        # One row per language: its surest segment.
+                        runs = [max((r for r in runs if r[0] == lang), key=lambda r: r[2]) for lang in dict.fromkeys(lang for lang, _, _ in runs)]
                     for number, (lang, said, sure) in enumerate(runs, 1):
                         for name, value in zip(rows, (doc, named, many, number, lang, sure, said if with_text else None), strict=True):
                             rows[name].append(value)
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(rows.values(), kinds, strict=True)], names=list(rows))
 
-    chosen = spread(documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), label_language(F.col(f"`{label}`")).alias("label"), F.col(f"`{text}`").alias("__text")))
+    chosen = documents.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), label_language(F.col(f"`{label}`")).alias("label"), F.col(f"`{text}`").alias("__text"))
     return chosen.mapInArrow(judge, _SEGMENTS)
 
 
@@ -311,4 +335,4 @@ def label_errors(documents: DataFrame, key: str = "doc_id", text: str = "text",
     found = language_segments(documents, key, text, label, with_text=False, model=model)
     # With one language, a label is right only if it is that one; with several, the document is a case anyway.
     cases = found.where("n_langs > 1 or label is null or label <> lang")
-    return cases.select("doc_id", "lang").distinct()
+    return cases.select("doc_id", "lang")
