@@ -38,11 +38,11 @@ def keep_best(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
 
 
 def longest_text(df: DataFrame, keys: list[str], text: str, tiebreak: str) -> DataFrame:
-    """A19 by length of text; ties end at the smallest tiebreak. Only lengths and ids go through the shuffle, the
-    texts are fetched by id."""
-    ranked = df.select(*keys, tiebreak, F.length(text).alias("__len")).dropna(subset=keys)
-    best = ranked.groupBy(*keys).agg(F.max(F.struct(F.coalesce("__len", F.lit(-1)), (-F.col(tiebreak)).alias("__k"))).alias("__b")).select((-F.col("__b.__k")).alias(tiebreak))
-    return df.join(best, tiebreak, "left_semi")
+    """A19 by length of text: keys, tiebreak, n_chars of the longest text of each key (null if it has none); ties end at the smallest
+    tiebreak. Lengths are taken where a text is read, and no text is moved. What else is wanted of the longest text is worked out
+    there too and kept by ``keep_best``, or fetched by the tiebreak."""
+    ranked = df.select(*keys, tiebreak, F.length(text).alias("n_chars"))
+    return keep_best(ranked, keys, [F.coalesce("n_chars", F.lit(-1)), -F.col(tiebreak)])
 
 
 def bounds(df: DataFrame, value: str, by: list[str] | None = None, tail: float = 0.01) -> DataFrame:

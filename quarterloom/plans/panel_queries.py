@@ -12,8 +12,8 @@ from quarterloom.operators import panel as P
 from quarterloom.operators import stats as S
 from quarterloom.operators.timestamps import with_norm
 from quarterloom.plans import pipelines as L
-from quarterloom.sources import more, spread, table
-from quarterloom.sources.lexicons import lexicons
+from quarterloom.sources import more, table
+from quarterloom.sources.lexicons import loaded_lexicons
 
 _LEAST = 300
 _r = lambda c: F.round(c, 6)
@@ -29,8 +29,8 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
 def recent_signals(spark: SparkSession, folder: str) -> DataFrame:
     """Recent calls later than the whole panel, on its scale."""
     feeds = table(spark, folder, "call_feeds").select("feed", F.col("home_zone").alias("__hz"), F.col("date_order").alias("__do"))
-    recent = with_norm(spread(table(spark, folder, "recent_corpus")).join(feeds, "feed", "left"), "call_date", "__hz", "__do")
-    return L.recent_signals(recent, panel(spark, folder), "norm", lexicons()["uncertainty"], least_tokens=_LEAST)
+    recent = with_norm(table(spark, folder, "recent_corpus").join(feeds, "feed", "left"), "call_date", "__hz", "__do")
+    return L.recent_signals(recent, panel(spark, folder), "norm", loaded_lexicons(spark)["uncertainty"], least_tokens=_LEAST)
 
 
 def _sample(spark: SparkSession, folder: str) -> DataFrame:
@@ -46,9 +46,9 @@ def _section(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def nations(spark: SparkSession, folder: str) -> DataFrame:
-    """A balanced panel: nations by quarter with order totals, complete quarters only."""
+    """Nations by quarter with order totals: a balanced panel as long as every nation orders in every quarter."""
     orders, customers, nation = (table(spark, folder, t) for t in ("orders", "customer", "nation"))
-    rows = orders.where("o_orderdate < timestamp_ntz'2001-07-01'").join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     q = (F.year("o_orderdate") * 4 + F.quarter("o_orderdate") - 1).cast("bigint")
     return rows.groupBy(F.col("n_name").alias("ticker"), q.alias("q")).agg(F.sum("o_totalprice").alias("x"), F.count("*").cast("double").alias("y"))
 
@@ -190,8 +190,8 @@ def a18_median_split(spark, folder):
 
 
 def a19_longest(spark, folder):
-    corpus = table(spark, folder, "corpus")
-    return P.longest_text(corpus, L.KEYS, "transcript", "corpus_id").select("corpus_id", "ticker", F.length("transcript").cast("bigint").alias("n_chars"))
+    """The longest transcript of each call; only its length is moved."""
+    return P.longest_text(table(spark, folder, "corpus"), L.KEYS, "transcript", "corpus_id").select("corpus_id", "ticker", F.col("n_chars").cast("bigint").alias("n_chars"))
 
 
 def a21_trend(spark, folder):
@@ -373,7 +373,7 @@ def k5_explorer_json(spark, folder):
 
 def s2_feature_build(spark, folder):
     """The whole build: corpus to features."""
-    return L.build_features(table(spark, folder, "corpus"), lexicons(), F.lit(True))
+    return L.build_features(table(spark, folder, "corpus"), loaded_lexicons(spark), F.lit(True))
 
 
 def s8_inspect(spark, folder):
@@ -392,7 +392,7 @@ _CORR = "case when stddev_pop({0}) = 0 or stddev_pop({1}) = 0 then null else cor
 _FIT = "cells as (select {by} ticker, count(*)::double as n, covar_pop({x}, {y}) * count(*) as xy, var_pop({x}) * count(*) as xx from {src} group by all), fit as (select {by} sum(xy) / nullif(sum(xx), 0) as beta, sum(xx) as sxx, sum(n) as n, count(*)::double as g from cells group by all), meat as (select {cby} any_value(beta) as beta, any_value(sxx) as sxx, any_value(fit.n) as n, any_value(fit.g) as g, sum((xy - beta * xx) * (xy - beta * xx)) as m from cells join fit {on} group by all), done as (select *, sqrt(g / nullif(g - 1, 0) * (n - 1) / nullif(n - 1 - g, 0) * m) / sxx as se from meat)"
 _LATEST = f"{_SEC}, h as (select *, row_number() over (partition by ticker order by q desc) as back, count(*) over w as n_history, avg(density) over w as mu, stddev_pop(density) over w as sd, lag(density) over (partition by ticker order by q) as prev, max(q) over () as newest, first_value(density) over (partition by ticker order by q desc) as last_d from sec window w as (partition by ticker order by q rows between unbounded preceding and 1 preceding)), below as (select ticker, count(*) filter (where density < last_d and back > 1) as b from h group by ticker), lat as (select h.ticker, company, datacqtr as quarter, newest - q as quarters_behind, n_history, round(density, 6) as density_qa, round((density - mu) / sd, 6) as density_z, round(b::double / n_history * 100, 6) as density_pctile, round(density - prev, 6) as change_vs_prev_call from h join below using (ticker) where back = 1 and n_history >= 12 and sd <> 0)"
 _WEB = f"{_SEC}, e as (select quantile_cont(eps_ttm_growth_next_q, 0.01) as lo, quantile_cont(eps_ttm_growth_next_q, 0.99) as hi from sec), w as (select sec.*, case when eps_ttm_growth_next_q is not null then greatest(lo, least(hi, eps_ttm_growth_next_q)) end as eps_w, round(density, 2) as d2 from sec, e), r as (select *, row_number() over (partition by ticker order by q desc) as back from w), p as (select ticker, avg(d2) filter (where back > 1) as mu, stddev_pop(d2) filter (where back > 1) as sd, count(*) as n, max_by(company, q) filter (where company is not null) as name, max_by(d2, q) as last_d, count(eps_w) as np, case when stddev_pop(density) filter (where eps_w is not null) = 0 or stddev_pop(eps_w) = 0 then null else corr(density, eps_w) end as c, max_by('Q' || quarter || ' ''' || lpad((year % 100)::varchar, 2, '0'), q) as lbl from r group by ticker), web as (select ticker, name, n as n_quarters, case when np >= 12 then round(c, 2) end as r, lbl as \"latestLabel\", case when n > 12 and sd > 0 then round((last_d - mu) / sd, 2) end as \"latestZ\" from p)"
-_NAT = "nat as (select n_name as ticker, (year(o_orderdate) * 4 + quarter(o_orderdate) - 1)::bigint as q, sum(o_totalprice) as x, count(*)::double as y from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey where o_orderdate < timestamp '2001-07-01' group by all)"
+_NAT = "nat as (select n_name as ticker, (year(o_orderdate) * 4 + quarter(o_orderdate) - 1)::bigint as q, sum(o_totalprice) as x, count(*)::double as y from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)"
 
 QUERIES = {name: f for name, f in globals().items() if re.match(r"(?:pr|[ajkosuwx])\d+_", name)}
 ORACLE = {

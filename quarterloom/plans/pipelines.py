@@ -13,7 +13,6 @@ from quarterloom.operators import panel as P
 from quarterloom.operators import returns as R
 from quarterloom.operators import stats as S
 from quarterloom.session import cut_lineage
-from quarterloom.sources import spread
 
 PASSED = [
     "ticker", "company", "sector", "industry", "cik", "year", "quarter", "datacqtr", "datafqtr", "earnings_date", "eps12mtrailing_qavg",
@@ -33,10 +32,10 @@ def scored(texts: DataFrame, text: str, lexicons: Mapping[str, Iterable[str]], k
 
 def build_features(corpus: DataFrame, lexicons: Mapping[str, Iterable[str]], universe=None, key: str = "corpus_id") -> DataFrame:
     """Corpus to feature table: universe, keys, longest transcript per key, scores, forward outcome."""
-    rows = spread(corpus).where(P.universe() if universe is None else universe).dropna(subset=["year", "quarter", "ticker"])
-    rows = rows.withColumns({"year": F.col("year").cast("int"), "quarter": F.col("quarter").cast("int")})
-    unique = P.longest_text(rows, KEYS, "transcript", key)
-    full = scored(unique, "transcript", lexicons, PASSED)
+    rows = corpus.where(P.universe() if universe is None else universe).dropna(subset=["year", "quarter", "ticker"])
+    rows = rows.withColumns({"year": F.col("year").cast("int"), "quarter": F.col("quarter").cast("int"), "__length": F.coalesce(F.length("transcript"), F.lit(-1))})
+    # Scored where read, so that only scores are moved: the longest text's stay.
+    full = P.keep_best(scored(rows, "transcript", lexicons, [*PASSED, key, "__length"]), KEYS, [F.col("__length"), -F.col(key)]).drop(key, "__length")
     out = P.with_forward_outcome(full, value="eps12mtrailing_qavg", following="eps_ttm_next_q", growth="eps_ttm_growth_next_q")
     return out.withColumn("eps_ttm", F.col("eps12mtrailing_qavg"))
 
@@ -47,11 +46,12 @@ def recent_signals(recent: DataFrame, panel: DataFrame, moment: str, lexicon: It
     moment: a column with the call's ISO date or moment, null where there is none.
     """
     rows = recent.join(panel.select("ticker").distinct(), "ticker", "left_semi").withColumn("__at", F.try_to_timestamp(F.left(moment, F.lit(10)), F.lit("yyyy-MM-dd"))).where("__at is not null")
-    rows = P.longest_text(P.period_columns(rows, "__at"), KEYS, "transcript", key)
-    part = rows.select("ticker", "company", "year", "quarter", "datacqtr", "transcript", F.date_format("__at", "yyyy-MM-dd").alias("earnings_date"))
-    part = part.withColumn("__start", X.section_start("transcript")).withColumn("__part", X.section("transcript", "__start"))
-    words = part.select("ticker", "company", "year", "quarter", "datacqtr", "earnings_date", F.inline(F.array(F.struct(X.tokens("__part").alias("__w")))))
-    scores = X.with_scores(words, "__w", {"uncertainty": lexicon}, "qa")
+    kept = ["ticker", "company", "year", "quarter", "datacqtr", "earnings_date", key, "__length"]
+    part = P.period_columns(rows, "__at").withColumns({"earnings_date": F.date_format("__at", "yyyy-MM-dd"), "__length": F.coalesce(F.length("transcript"), F.lit(-1))}).dropna(subset=KEYS)
+    part = part.select(*kept, "transcript", F.inline(F.array(F.struct(X.section_start("transcript").alias("__start")))))
+    words = part.select(*kept, F.inline(F.array(F.struct(X.tokens(X.section("transcript", "__start")).alias("__w")))))
+    # Scored where read; the longest call of a quarter stays, and no text is moved.
+    scores = P.keep_best(X.with_scores(words, "__w", {"uncertainty": lexicon}, "qa"), KEYS, [F.col("__length"), -F.col(key)]).drop(key, "__length")
     # Used for the fit and for the result: the texts are scored once, the scores are small.
     raw = cut_lineage(scores.where(F.col("total_tokens_qa") >= least_tokens).withColumnRenamed("uncertainty_density_qa", "__raw"))
     known = panel.select("ticker", "datacqtr", F.col("uncertainty_density_qa").alias("__panel")).dropna()

@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 
 from quarterloom.functions import text as X
 from quarterloom.plans import pipelines as L
-from quarterloom.sources import spread, table
-from quarterloom.sources.lexicons import lexicon_table, lexicons
+from quarterloom.sources import table
+from quarterloom.sources.lexicons import CATEGORIES, full_terms, lexicon_table, loaded_lexicons
 
-_LISTS = lexicons()
+# The lists as the SQL has them; the queries read theirs from files.
+_LISTS = {c: frozenset(full_terms(c)) for c in CATEGORIES}
 _TOKENS = "regexp_extract_all(lower({0}), '[a-z]+(?:''[a-z]+)?')"
 _quoted = lambda terms: ", ".join("'" + t.replace("'", "''") + "'" for t in sorted(terms))
 
 
 def _words(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "documents").select("doc_id", "text")).select("doc_id", F.inline(F.array(F.struct(X.tokens("text").alias("words")))))
+    return table(spark, folder, "documents").select("doc_id", F.inline(F.array(F.struct(X.tokens("text").alias("words")))))
 
 
 def t1_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -26,7 +27,7 @@ def t1_tokens(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t3_lexicon_score(spark: SparkSession, folder: str) -> DataFrame:
-    return X.with_scores(_words(spark, folder), "words", {"uncertainty": _LISTS["uncertainty"]}, "full").withColumn("uncertainty_density_full", F.round("uncertainty_density_full", 9))
+    return X.with_scores(_words(spark, folder), "words", {"uncertainty": loaded_lexicons(spark)["uncertainty"]}, "full").withColumn("uncertainty_density_full", F.round("uncertainty_density_full", 9))
 
 
 def t4_density_by_type(spark: SparkSession, folder: str) -> DataFrame:
@@ -37,19 +38,26 @@ def t4_density_by_type(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def t7_multi_category(spark: SparkSession, folder: str) -> DataFrame:
-    scores = X.with_scores(_words(spark, folder), "words", _LISTS, "full")
-    return scores.select("doc_id", "total_tokens_full", *(f"{c}_count_full" for c in _LISTS), "negation_excluded_full")
+    lists = loaded_lexicons(spark)
+    scores = X.with_scores(_words(spark, folder), "words", lists, "full")
+    return scores.select("doc_id", "total_tokens_full", *(f"{c}_count_full" for c in lists), "negation_excluded_full")
 
 
 def j4_terms(spark: SparkSession, folder: str) -> DataFrame:
     """How often each lexicon term occurs: tokens joined to the lexicon, a list of fixed size."""
     long = _words(spark, folder).select(F.explode("words").alias("term"))
-    terms = F.broadcast(lexicon_table(spark, _LISTS))
+    terms = F.broadcast(lexicon_table(spark, loaded_lexicons(spark)))
     return long.groupBy("term").agg(F.count("*").alias("n")).join(terms, "term").select("category", "term", "n")
 
 
+def s3_lexicons(spark: SparkSession, folder: str) -> DataFrame:
+    """The lists as their files give them, after the size guard."""
+    terms = lexicon_table(spark, loaded_lexicons(spark))
+    return terms.groupBy("category").agg(F.count("*").alias("n_terms"), F.md5(F.array_join(F.sort_array(F.collect_list("term")), " ")).alias("terms_md5"))
+
+
 def _transcripts(spark: SparkSession, folder: str) -> DataFrame:
-    return spread(table(spark, folder, "corpus").select("corpus_id", "transcript")).withColumn("start", X.section_start("transcript"))
+    return table(spark, folder, "corpus").select("corpus_id", "transcript").withColumn("start", X.section_start("transcript"))
 
 
 def t5_section_start(spark: SparkSession, folder: str) -> DataFrame:
@@ -78,13 +86,13 @@ def pr17_usable(spark: SparkSession, folder: str) -> DataFrame:
     """Density of the section where it is long enough, else null."""
     part = _transcripts(spark, folder).withColumn("part", X.section("transcript", "start"))
     words = part.select("corpus_id", F.inline(F.array(F.struct(X.tokens("part").alias("words")))))
-    scores = X.with_scores(words, "words", {"uncertainty": _LISTS["uncertainty"]}, "qa")
+    scores = X.with_scores(words, "words", {"uncertainty": loaded_lexicons(spark)["uncertainty"]}, "qa")
     return scores.select("corpus_id", F.when(F.col("total_tokens_qa") >= 500, F.round("uncertainty_density_qa", 9)).alias("density"))
 
 
 def s2_feature_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The counts and outcomes of the whole feature build."""
-    rows = L.build_features(table(spark, folder, "corpus"), _LISTS, F.lit(True))
+    rows = L.build_features(table(spark, folder, "corpus"), loaded_lexicons(spark), F.lit(True))
     counts = [f"{c}_count_{part}" for part in ("full", "qa") for c in _LISTS]
     return rows.select(
         "ticker", F.col("year").cast("bigint").alias("year"), F.col("quarter").cast("bigint").alias("quarter"), "qa_isolated", "total_tokens_full", "total_tokens_qa",
@@ -131,6 +139,7 @@ _BUILD = (
 
 QUERIES = {name: f for name, f in globals().items() if re.match(r"(?:t|j|pr|s)\d+_", name)}
 ORACLE = {
+    "s3_lexicons": " union all ".join(f"select '{c}' as category, len(l) as n_terms, md5(array_to_string(list_sort(l), ' ')) as terms_md5 from (select [{_quoted(t)}] as l)" for c, t in _LISTS.items()),
     "s2_feature_scores": _BUILD,
     "t1_tokens": f"select doc_id, len({_TOKENS.format('text')}) as n_tokens, md5(array_to_string({_TOKENS.format('text')}, ' ')) as tokens_md5 from documents",
     "t3_lexicon_score": _T3,

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
 import tempfile
 import zipfile
 
@@ -14,6 +16,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Small files are split over the cores by the size of the splits, not by a shuffle.
+    "spark.sql.files.openCostInBytes": "65536",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
@@ -30,10 +34,12 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder of the cluster; only where the session names none, one of our own is set."""
+    """The shared folder the cluster names. Only a local session without one gets one of our own; a cluster without one is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
+        if not folder and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or os.path.join(tempfile.gettempdir(), "quarterloom-checkpoint"))
     return folder or context._jsc.sc().getCheckpointDir().get()
 
@@ -44,7 +50,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(context, "_quarterloom_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    path = os.path.join(tempfile.mkdtemp(), "quarterloom.zip")
+    # Served from the driver; the executors fetch it. It goes when the driver ends.
+    aside = tempfile.TemporaryDirectory()
+    atexit.register(aside.cleanup)
+    path = os.path.join(aside.name, "quarterloom.zip")
     with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as archive:
         for folder, _, files in os.walk(root):
             for name in sorted(files):

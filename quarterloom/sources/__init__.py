@@ -1,3 +1,3 @@
-from quarterloom.sources.tables import spread, table
+from quarterloom.sources.tables import table
 
-__all__ = ["spread", "table"]
+__all__ = ["table"]

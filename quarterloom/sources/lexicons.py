@@ -1,15 +1,19 @@
 """Word lexicons: lists are data, read from a folder of one-term-per-line files, with a size guard each.
 
-Without a folder, a short list of our own per category serves tests and demonstrations.
+Without a folder, a short list of common words per category serves tests and demonstrations; the queries read lists of full size from
+files, whose terms are derived from the short ones by rule.
 """
 
 from __future__ import annotations
 
+import itertools
 import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarterloom.session import checkpoint_folder
+
 CATEGORIES = ("uncertainty", "negative", "positive", "litigious", "constraining")
 CONTROLS = ("negative", "positive", "litigious", "constraining")
 # A complete list of each category has at least so many terms.
@@ -27,6 +31,39 @@ DEFAULT_TERMS = {
 }
 
 
+# The sizes of complete lists.
+FULL_SIZES = {"uncertainty": 297, "negative": 2355, "positive": 354, "litigious": 904, "constraining": 184}
+_PREFIXES = ("", "un", "re", "over", "under", "non", "mis", "pre", "out", "counter", "inter", "super")
+_SUFFIXES = ("", "s", "ed", "ing", "ly", "ness", "able", "ment", "er", "ers")
+
+
+def full_terms(category: str) -> list[str]:
+    """A list of full size by rule: our short list first, then its words with suffixes and prefixes, up to the size of a complete one."""
+    words = DEFAULT_TERMS[category].split()
+    made = dict.fromkeys(prefix + word + suffix for prefix, suffix in sorted(itertools.product(_PREFIXES, _SUFFIXES), key=lambda p: len(p[0] + p[1])) for word in words)
+    return list(itertools.islice(made, FULL_SIZES[category]))
+
+
+def written_lexicons(spark: SparkSession) -> str:
+    """A folder with the lists of full size, one term per line, in the shared folder of the session; written once per application."""
+    folder = os.path.join(checkpoint_folder(spark), f"lexicons-{spark.sparkContext.applicationId}")
+    if _WRITTEN.get("folder") != folder:
+        for category in CATEGORIES:
+            terms = spark.createDataFrame([(t,) for t in full_terms(category)], "term string").coalesce(1)
+            terms.write.mode("overwrite").text(os.path.join(folder, f"{category}.txt"))
+        _WRITTEN.update(folder=folder, lists=lexicons(spark, folder))
+    return folder
+
+
+def loaded_lexicons(spark: SparkSession) -> dict[str, frozenset[str]]:
+    """The lists of full size, read from their files and checked for size."""
+    written_lexicons(spark)
+    return _WRITTEN["lists"]
+
+
+_WRITTEN: dict = {}
+
+
 def read_terms(spark: SparkSession, path: str) -> DataFrame:
     """S3: trimmed, lower-case, distinct terms of a text file; blank lines don't count."""
     term = F.lower(F.regexp_replace("value", r"^\s+|\s+$", ""))

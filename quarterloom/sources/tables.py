@@ -9,16 +9,3 @@ from pyspark.sql import DataFrame, SparkSession
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(folder, f"{name}.parquet"))
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores before heavy work per row, where a scan has fewer partitions than cores (a table in one small
-    file). A larger table is read in enough partitions already and is left as it is, without a shuffle; so is anything but
-    a scan with filters and projections, whose partitions are known only once it has run."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    while plan.children().size() == 1 and plan.nodeName() in ("Project", "Filter"):
-        plan = plan.children().head()
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if plan.children().size() or df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
