@@ -74,94 +74,144 @@ def slope_by(df: DataFrame, y: str, x: str, entity: str, by: list[str] | None =
     return out.select(*by, F.col("rows").cast("bigint").alias("n"), F.col("entities").cast("bigint").alias("entities"), "beta", "se", "t", normal_p_value("t").alias("p"))
 
 
-def _period_sums(columns: list[str]):
-    """Adds up, per task, what the time periods share through the entities: the matrix of periods and the sums of each column."""
+_SUMS = "what string, a string, b string, v double"
+
+
+def _cells(df: DataFrame, columns: list[str], entity: str, time: str | None) -> DataFrame:
+    """One row per entity with the list of its periods: period, and in one array the count, the means, and the central products of the columns."""
+    pairs = [(i, j) for i in range(len(columns)) for j in range(i, len(columns))]
+    values = F.array(F.count("*").cast("double"), *(F.avg(c) for c in columns), *(F.covar_pop(columns[i], columns[j]) * F.count("*") for i, j in pairs))
+    keys = [F.col(entity).alias("entity"), (F.col(time).cast("string") if time else F.lit(None).cast("string")).alias("period")]
+    # At most one cell per period in each list.
+    return df.groupBy(*keys).agg(values.alias("v")).groupBy("entity").agg(F.collect_list(F.struct("period", "v")).alias("cells")).select("cells")
+
+
+def _entities(batches: Iterator[pa.RecordBatch], k: int, timed: bool) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarray]]:
+    """(periods, counts, means less the entity's, central products) of each entity; if timed, of its cells with a period."""
+    upper = np.triu_indices(k)
+    for batch in batches:
+        for cells in batch.column("cells").to_pylist():
+            used = [c for c in cells if not timed or c["period"] is not None]
+            if used:
+                v = np.array([c["v"] for c in used])
+                n, means, inner = v[:, 0], v[:, 1 : k + 1], np.zeros((k, k))
+                inner[upper] = v[:, k + 1 :].sum(axis=0)
+                inner.T[upper] = inner[upper]
+                yield [c["period"] for c in used], n, means - (n @ means) / n.sum(), inner
+
+
+def _sum_rows(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
+    kinds = (pa.string(), pa.string(), pa.string(), pa.float64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["what", "a", "b", "v"])
+
+
+def _products(k: int, timed: bool):
+    """Adds up, per task, the cross products of the columns, and what the periods share through the entities."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        square: dict[tuple[int, int], float] = {}
-        sums: dict[tuple[int, int], float] = {}
-        for batch in batches:
-            for row in batch.to_pylist():
-                cells = row["cells"]
-                total = sum(c["n"] for c in cells)
-                means = [sum(c[f"s{k}"] for c in cells) / total for k in range(len(columns))]
-                for c in cells:
-                    square[c["t"], c["t"]] = square.get((c["t"], c["t"]), 0.0) + c["n"]
-                    for d in cells:
-                        square[c["t"], d["t"]] = square.get((c["t"], d["t"]), 0.0) - c["n"] * d["n"] / total
-                    for k, mean in enumerate(means):
-                        sums[c["t"], k] = sums.get((c["t"], k), 0.0) + c[f"s{k}"] - c["n"] * mean
-        rows = [(0, a, b, v) for (a, b), v in square.items()] + [(1, a, k, v) for (a, k), v in sums.items()]
-        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.float64())
-        columns_ = list(zip(*rows)) if rows else [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns_, kinds)], names=["what", "a", "b", "v"])
+        total, size, entities = np.zeros((k, k)), 0.0, 0
+        known: dict[str, int] = {}
+        square, sums = np.zeros((0, 0)), np.zeros((0, k))
+        for periods, n, means, inner in _entities(batches, k, timed):
+            total += inner + (means * n[:, None]).T @ means
+            size, entities = size + n.sum(), entities + 1
+            if timed:
+                at = np.array([known.setdefault(t, len(known)) for t in periods])
+                if len(known) > MOST_PERIODS:
+                    raise ValueError(f"more than {MOST_PERIODS} periods; a two-way fit takes no more")
+                if len(known) > len(square):
+                    grown = np.zeros((2 * len(known), 2 * len(known)))
+                    grown[: len(square), : len(square)] = square
+                    square, sums = grown, np.vstack([sums, np.zeros((2 * len(known) - len(sums), k))])
+                square[np.ix_(at, at)] += np.diag(n) - np.outer(n, n) / n.sum()
+                sums[at] += n[:, None] * means
+        rows = [("size", "", "", float(size)), ("entities", "", "", float(entities))]
+        rows += [("total", str(i), str(j), float(total[i, j])) for i in range(k) for j in range(k)]
+        names = list(known)
+        rows += [("square", names[i], names[j], float(square[i, j])) for i, j in zip(*np.nonzero(square), strict=True)]
+        rows += [("sums", name, str(j), float(sums[i, j])) for i, name in enumerate(names) for j in range(k)]
+        yield _sum_rows(rows)
 
     return run
 
 
-def without_time_effects(df: DataFrame, columns: list[str], entity: str, time: str) -> tuple[DataFrame, int]:
-    """Takes out of each column the effects of the time periods, given those of the entities; returns the rows and the number of periods.
+def _scores(k: int, effects: dict[str, np.ndarray] | None, fits: dict[str, tuple[int, list[int], np.ndarray]]):
+    """Adds up, per task, the outer products of the entities' scores for each fit (y, xs, coefficients)."""
 
-    Only sums per entity and period are moved. The system has one unknown per period and is solved on the driver.
-    """
-    index = Window.orderBy(time)
-    periods = df.select(time).distinct()
-    count = periods.count()
-    if count > MOST_PERIODS:
-        raise ValueError(f"{count} periods; a two-way fit takes at most {MOST_PERIODS}")
-    numbered = periods.withColumn("__t", F.row_number().over(index).cast("bigint") - 1)
-    rows = df.join(F.broadcast(numbered), time)
-    cells = rows.groupBy(entity, "__t").agg(F.count("*").cast("double").alias("n"), *(F.sum(c).alias(f"s{k}") for k, c in enumerate(columns)))
-    # At most one cell per period in each list.
-    lists = cells.groupBy(entity).agg(F.collect_list(F.struct(F.col("__t").alias("t"), "n", *(f"s{k}" for k in range(len(columns))))).alias("cells")).select("cells")
-    parts = lists.mapInArrow(_period_sums(columns), "what int, a bigint, b bigint, v double").groupBy("what", "a", "b").agg(F.sum("v").alias("v")).collect()
-    square, sums = np.zeros((count, count)), np.zeros((count, len(columns)))
-    for r in parts:
-        (sums if r.what else square)[r.a, r.b] = r.v
-    effects = np.linalg.pinv(square, hermitian=True) @ sums
-    table = df.sparkSession.createDataFrame([(t, *map(float, e)) for t, e in enumerate(effects)], "__t bigint, " + ", ".join(f"__e{k} double" for k in range(len(columns))))
-    adjusted = rows.join(F.broadcast(table), "__t").withColumns({c: F.col(c) - F.col(f"__e{k}") for k, c in enumerate(columns)})
-    return adjusted.drop("__t", *(f"__e{k}" for k in range(len(columns)))), count
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        meat = {name: np.zeros((len(xs), len(xs))) for name, (_, xs, _) in fits.items()}
+        for periods, n, means, inner in _entities(batches, k, effects is not None):
+            if effects is not None:
+                shift = np.array([effects[t] for t in periods])
+                means = means - shift + (n @ shift) / n.sum()
+            own = inner + (means * n[:, None]).T @ means
+            for name, (y, xs, beta) in fits.items():
+                score = own[xs, y] - own[np.ix_(xs, xs)] @ beta
+                meat[name] += np.outer(score, score)
+        yield _sum_rows([(name, str(i), str(j), float(m[i, j])) for name, m in meat.items() for i in range(len(m)) for j in range(len(m))])
 
+    return run
 
-def fe_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str | None = None) -> DataFrame:
-    """OLS with entity (and time) effects, errors clustered by entity, any number of regressors.
 
-    One row per regressor: coef, se, t, p (normal), n, entities, r2_within. The small-sample factor counts every dummy.
-    Runs small jobs when called; the rows are reduced to one cross-product matrix per entity.
+def fe_fits(df: DataFrame, models: dict[str, tuple[str, list[str]]], entity: str, times: dict[str, str | None]) -> DataFrame:
+    """OLS with entity (and time) effects, errors clustered by entity, for several models on the same rows.
+
+    models: name -> (outcome, regressors). times: label -> time column of a two-way fit, or None (one time column at most). One row per
+    model, label and regressor: model, effects, term, coef, se, t, p (normal), n, entities, r2_within. The small-sample factor counts every
+    dummy. Rows count if every column of every model is present, in two-way fits the period too.
+
+    The rows are reduced once to a list of periods per entity; two passes over these lists serve all models: one for the cross products
+    and the periods' equations (one unknown per period, solved on the driver), one for the scores.
     """
     spark = df.sparkSession
-    columns = [y, *xs]
-    rows = df.dropna(subset=[entity, *([time] if time else []), *columns]).select(entity, *([time] if time else []), *(F.col(c).cast("double").alias(c) for c in columns))
-    periods = 0
-    if time:
-        # Read four times below: worked out once.
-        rows, periods = without_time_effects(cut_lineage(rows), columns, entity, time)
-    k = len(columns)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    cells = cut_lineage(rows.groupBy(entity).agg(F.count("*").cast("double").alias("n"), *((F.covar_pop(columns[i], columns[j]) * F.count("*")).alias(f"c{i}_{j}") for i, j in pairs)))
-    total = cells.agg(F.sum("n").alias("n"), F.count("*").alias("g"), *(F.sum(f"c{i}_{j}").alias(f"c{i}_{j}") for i, j in pairs)).first()
-    schema = "term string, coef double, se double, t double, p double, n bigint, entities bigint, r2_within double"
-    if not total.n:
-        return spark.createDataFrame([], schema)
-    m = np.zeros((k, k))
-    for i, j in pairs:
-        m[i, j] = m[j, i] = total[f"c{i}_{j}"] or 0.0
-    inverse = np.linalg.pinv(m[1:, 1:], hermitian=True)
-    beta = inverse @ m[1:, 0]
-    at = lambda i, j: f"c{min(i, j)}_{max(i, j)}"
-    score = [F.col(at(0, a)) - sum((F.col(at(a, b)) * float(beta[b - 1]) for b in range(1, k)), F.lit(0.0)) for a in range(1, k)]
-    meat = np.array(cells.agg(*(F.sum(score[a] * score[b]).alias(f"m{a}_{b}") for a in range(k - 1) for b in range(k - 1))).first(), dtype=float).reshape(k - 1, k - 1)
-    parameters = k - 1 + total.g + max(0, periods - 1)
-    free = total.n - parameters
-    factor = total.g / (total.g - 1) * (total.n - 1) / free if total.g > 1 and free > 0 else float("nan")
-    errors = np.sqrt(np.diag(factor * inverse @ meat @ inverse))
-    r2 = float(beta @ m[1:, 0] / m[0, 0]) if m[0, 0] > 0 else None
-    out = []
-    for name, b, e in zip(xs, beta, errors):
-        t = float(b / e) if e > 0 else None
-        out.append((name, float(b), float(e) if e == e else None, t, normal_two_sided(t) if t is not None else None, int(total.n), int(total.g), r2))
-    return spark.createDataFrame(out, schema)
+    columns = list(dict.fromkeys(c for y, xs in models.values() for c in (y, *xs)))
+    time = next((t for t in times.values() if t), None)
+    rows = df.dropna(subset=[entity, *columns]).select(entity, *([time] if time else []), *(F.col(c).cast("double").alias(c) for c in columns))
+    lists = cut_lineage(_cells(rows, columns, entity, time))
+    k, out = len(columns), []
+    for label, own in times.items():
+        add = lambda run: lists.mapInArrow(run, _SUMS).groupBy("what", "a", "b").agg(F.sum("v").alias("v")).collect()
+        parts: dict[str, dict[tuple[str, str], float]] = {}
+        for r in add(_products(k, own is not None)):
+            parts.setdefault(r.what, {})[r.a, r.b] = r.v
+        n, groups = int(parts["size"]["", ""]) if "size" in parts else 0, int(parts["entities"]["", ""]) if "size" in parts else 0
+        if not n:
+            continue
+        m = np.array([[parts["total"][str(i), str(j)] for j in range(k)] for i in range(k)])
+        effects, names = None, sorted({a for a, _ in parts.get("sums", {})})
+        if own is not None:
+            at = {name: i for i, name in enumerate(names)}
+            square, sums = np.zeros((len(names), len(names))), np.zeros((len(names), k))
+            for (a, b), v in parts.get("square", {}).items():
+                square[at[a], at[b]] = v
+            for (a, b), v in parts["sums"].items():
+                sums[at[a], int(b)] = v
+            solved = np.linalg.pinv(square, hermitian=True) @ sums
+            m = m - sums.T @ solved
+            effects = dict(zip(names, solved, strict=True))
+        fits, inverses = {}, {}
+        for name, (y, xs) in models.items():
+            yi, xi = columns.index(y), [columns.index(x) for x in xs]
+            inverses[name] = np.linalg.pinv(m[np.ix_(xi, xi)], hermitian=True)
+            fits[name] = (yi, xi, inverses[name] @ m[xi, yi])
+        meats = {name: np.zeros((len(xs), len(xs))) for name, (_, xs) in models.items()}
+        for r in add(_scores(k, effects, fits)):
+            meats[r.what][int(r.a), int(r.b)] = r.v
+        for name, (yi, xi, beta) in fits.items():
+            free = n - (len(xi) + groups + max(0, len(names) - 1))
+            factor = groups / (groups - 1) * (n - 1) / free if groups > 1 and free > 0 else float("nan")
+            errors = np.sqrt(np.maximum(np.diag(inverses[name] @ meats[name] @ inverses[name]), 0)) * math.sqrt(factor) if factor == factor else np.full(len(xi), np.nan)
+            r2 = float(beta @ m[xi, yi] / m[yi, yi]) if m[yi, yi] > 0 else None
+            for term, b, e in zip(models[name][1], beta, errors, strict=True):
+                t = float(b / e) if e > 0 else None
+                out.append((name, label, term, float(b), float(e) if e == e else None, t, normal_two_sided(t) if t is not None else None, n, groups, r2))
+    return spark.createDataFrame(out, "model string, effects string, term string, coef double, se double, t double, p double, n bigint, entities bigint, r2_within double")
+
+
+def fe_fit(df: DataFrame, y: str, xs: list[str], entity: str, time: str | None = None) -> DataFrame:
+    """One fit. One row per regressor: term, coef, se, t, p, n, entities, r2_within."""
+    return fe_fits(df, {"": (y, xs)}, entity, {"": time}).drop("model", "effects")
 
 
 def median_split(df: DataFrame, value: str, by: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame
@@ -88,12 +89,8 @@ def lead_lag(sample: DataFrame, guard: bool = False) -> DataFrame:
 
 def control_fits(sample: DataFrame, time: str | None = None) -> DataFrame:
     """Each control beside the density, then all of them jointly."""
-    rows = with_controls(sample)
-    out = None
-    for name, xs in [*((c, ["density_z", f"{c}_z"]) for c in CONTROLS), ("joint", ["density_z", *(f"{c}_z" for c in CONTROLS)])]:
-        fit = S.fe_fit(rows, "growth_w", xs, "ticker", time).withColumn("controls", F.lit(name))
-        out = fit if out is None else out.unionByName(fit)
-    return out
+    models = {c: ("growth_w", ["density_z", f"{c}_z"]) for c in CONTROLS} | {"joint": ("growth_w", ["density_z", *(f"{c}_z" for c in CONTROLS)])}
+    return S.fe_fits(with_controls(sample), models, "ticker", {"": time}).withColumnRenamed("model", "controls").drop("effects")
 
 
 def momentum_fit(sample: DataFrame, time: str | None = None) -> DataFrame:
@@ -115,48 +112,45 @@ def price_outcomes(calls: DataFrame, prices: DataFrame, day: str) -> DataFrame:
     return R.with_forward_returns(wanted, R.sessions(prices, latest=["fetched_at", "price_id"]), "earnings_date")
 
 
-def price_drift(outcomes: DataFrame, panel: DataFrame, horizon: str, time: str | None = "datacqtr", least_tokens: int = 500) -> DataFrame:
-    """Densities joined to outcomes, winsorized return on the z-score."""
+_FIT_COLUMNS = ["coef", "se", "t", "p", "r2_within", "n"]
+
+
+def price_drift(outcomes: DataFrame, panel: DataFrame, horizon: str, times: dict[str, str | None], least_tokens: int = 500) -> DataFrame:
+    """Densities joined to outcomes, winsorized return on the z-score, with each kind of effects."""
     density = panel.where(P.sample_filter(least_tokens)).select("ticker", "datacqtr", F.col("uncertainty_density_qa").alias("density"))
     rows = outcomes.select("ticker", "datacqtr", horizon).join(density, ["ticker", "datacqtr"])
     rows = P.standardize(rows, {"density": "density_z"}, "ticker").where(F.col("density_z").isNotNull() & F.col(horizon).isNotNull())
-    return S.fe_fit(P.winsorize(rows, horizon, "ret_w"), "ret_w", ["density_z"], "ticker", time)
+    fits = S.fe_fits(P.winsorize(rows, horizon, "ret_w"), {horizon: ("ret_w", ["density_z"])}, "ticker", times)
+    return fits.select(F.col("model").alias("outcome"), F.col("effects").alias("spec"), *_FIT_COLUMNS)
 
 
 def price_drifts(outcomes: DataFrame, panel: DataFrame, time: str = "datacqtr", least_tokens: int = 500) -> DataFrame:
     """Both horizons, each with entity effects and with both."""
     # Read by every fit: the small rows are worked out once.
     outcomes = cut_lineage(outcomes.select("ticker", "datacqtr", *R.HORIZONS))
-    panel = cut_lineage(panel.select("ticker", "datacqtr", "qa_isolated", "total_tokens_qa", "uncertainty_density_qa"))
-    out = None
-    for horizon in R.HORIZONS:
-        for spec, period in (("entity", None), ("entity+time", time)):
-            fit = price_drift(outcomes, panel, horizon, period, least_tokens).select(F.lit(horizon).alias("outcome"), F.lit(spec).alias("spec"), "coef", "se", "t", "p", "r2_within", "n")
-            out = fit if out is None else out.unionByName(fit)
-    return out
+    fits = [price_drift(outcomes, panel, horizon, {"entity": None, "entity+time": time}, least_tokens) for horizon in R.HORIZONS]
+    return functools.reduce(DataFrame.unionByName, fits)
 
 
 def robustness(panel: DataFrame, least_tokens: int = 500, time: str = "datacqtr") -> DataFrame:
     """The trailing outcome and the single-quarter one, each with entity effects and with both."""
     rows = P.standardize(panel.where(P.sample_filter(least_tokens)).withColumn("density", F.col("uncertainty_density_qa")), {"density": "density_z"}, "ticker")
     rows = rows.withColumn("yoy", P.innovation("eps_ttm", "eps_ttm_next_q")).where("density_z is not null")
-    out = None
+    fits = []
     for outcome in ("eps_ttm_growth_next_q", "yoy"):
         wins = P.winsorize(rows.where(F.col(outcome).isNotNull()), outcome, "out_w")
-        for spec, period in (("entity", None), ("entity+time", time)):
-            fit = S.fe_fit(wins, "out_w", ["density_z"], "ticker", period).select(F.lit(outcome).alias("outcome"), F.lit(spec).alias("spec"), "coef", "se", "t", "p", "r2_within", "n")
-            out = fit if out is None else out.unionByName(fit)
-    return out
+        fits.append(S.fe_fits(wins, {outcome: ("out_w", ["density_z"])}, "ticker", {"entity": None, "entity+time": time}))
+    return functools.reduce(DataFrame.unionByName, fits).select(F.col("model").alias("outcome"), F.col("effects").alias("spec"), *_FIT_COLUMNS)
 
 
 def panel_stats(panel: DataFrame, least_tokens: int = 500) -> DataFrame:
     """One row for the page: n, the two coefficients, the p of the weaker as a bucket."""
     from quarterloom.functions.scalars import p_bucket
 
-    rows = standardized_sample(panel, least_tokens)
-    one = S.fe_fit(rows, "growth_w", ["density_z"], "ticker").select("n", F.round("coef", 2).alias("coefHigh"), F.lit(1).alias("__one"))
-    two = S.fe_fit(rows, "growth_w", ["density_z"], "ticker", "datacqtr").select(F.round("coef", 2).alias("coefLow"), p_bucket("p").alias("p"), F.lit(1).alias("__one"))
-    return one.join(two, "__one").select("n", "coefHigh", "coefLow", "p")
+    fits = S.fe_fits(standardized_sample(panel, least_tokens), {"": ("growth_w", ["density_z"])}, "ticker", {"one": None, "two": "datacqtr"})
+    of = lambda label, value: F.max(F.when(F.col("effects") == label, value))
+    found = fits.agg(of("one", F.col("n")).alias("n"), of("one", F.round("coef", 2)).alias("coefHigh"), of("two", F.round("coef", 2)).alias("coefLow"), of("two", F.col("p")).alias("__p"))
+    return found.where("n is not null").select("n", "coefHigh", "coefLow", p_bucket("__p").alias("p"))
 
 
 def company_documents(panel: DataFrame, recent: DataFrame | None = None, least_tokens: int = 500, least_pairs: int = 12) -> DataFrame:
