@@ -16,7 +16,6 @@ A turn whose words are all fillers ("You know...") has no clean speech and is no
 
 from __future__ import annotations
 
-import functools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -34,7 +33,7 @@ OPERATOR, UNIDENTIFIED = "Operator", "Unidentified Analyst"
 #: How far on, in seconds, a text must be for a stamp like its first to mean that it starts over.
 RESTART = 90
 #: People of a directory up to which it goes to every task, and tickers whose forms of names a task keeps.
-PEOPLE_SENT, KEPT = 300_000, 500
+PEOPLE_SENT, KEPT = 300_000, 2000
 _TURNS = "recent_id bigint, turn_no bigint, speaker string, text string"
 # Sounds and fillers of hesitation, headings, notes that close a transcript, short forms of titles.
 SOUNDS = r"um+|uh+m?|uhm+|er+m?|ah+|h?mm+|mhm|hm+"
@@ -54,7 +53,6 @@ FLAT = peg.compiled(
         peg.seq("♪", peg.many(r"[^♪\n]"), "♪"),
     )
 )
-_FLAT_MARKS = re.compile(r"[<*♪]")
 # What may stand where no word is, once annotations are out: stamps, sounds, rules and all marks.
 SILENCE = peg.compiled(peg.many(peg.choice(STAMP, rf"(?:{SOUNDS})\b(?!['’])", r"[\W_]")))
 # Each alternative begins with a look at the next letter: most places end there.
@@ -62,7 +60,11 @@ _FILLER = re.compile(
     rf"(?:(?<=\s)[-–—] (?:{SOUNDS}|{FILLERS}) [-–—](?=\s)|\b(?=[uehma])(?:{SOUNDS})\b(?:\.\.\.|…|,)?|\b(?=[yiskl])(?:(?<=\s)(?:{FILLERS})(?:\.\.\.|…)|(?<=[\s,])(?:you know|i mean|sort of),?(?=\s)))", re.I
 )
 _NOTE = re.compile(rf"\s*(?:^|\n|(?<=[.?!] ))(?:{NOTES})\.?\s*$", re.I)
-_NOTED = re.compile(r"\*\*\*|END|call ends|end of|uration|\(c\)|oodbye", re.I)
+_NOTE_SIGNS = ("***", "- end", "– end", "— end", "-end", "–end", "—end", "call ends", "end of", "uration", "(c)", "oodbye")
+# Any sound or filler shows one of these once all but letters is blanks.
+_SPACES = bytes(c if chr(c).isalpha() and c < 128 else 32 for c in range(256))
+_SOUND_SIGNS = (b" um", b" uh", b" er ", b" err", b" erm", b" ah ", b" ahh", b" hm", b" mm", b" mhm", b"you know", b"i mean", b"sort of", b"kind of", b" like ")
+_SPACED = re.compile(r" ([,.;:?!])")
 _NOTE_LINE = re.compile(rf"(?:{NOTES})s?\.?", re.I)
 
 # Heads of turns at the start of a line.
@@ -89,7 +91,7 @@ def has_words(speech: str) -> bool:
 
 def unannotated(speech: str) -> str:
     """The speech with a blank for every annotation."""
-    if _FLAT_MARKS.search(speech):
+    if "<" in speech or "*" in speech or "♪" in speech:
         speech = FLAT.sub(" ", speech)
     if "[" in speech or "(" in speech or "{" in speech:
         speech = "".join(p if isinstance(p, str) else " " for p in peg.annotated(speech).parts)
@@ -213,12 +215,25 @@ def _split_running(line: str, out: list[Node]) -> None:
 
 def fold(name: str) -> str:
     """Without case, marks and doubled blanks."""
+    if name.isascii():
+        return " ".join(name.casefold().split())
     plain = unicodedata.normalize("NFKD", name.casefold())
     return re.sub(r"\s+", " ", "".join(c for c in plain if not unicodedata.combining(c))).strip()
 
 
-def _shorter(word: str) -> set[str]:
-    return {word[:i] + word[i + 1 :] for i in range(len(word))}
+def one_lost(a: str, b: str) -> bool:
+    """Whether two words are equal once each has lost at most one character (a slip, or a swap of neighbours)."""
+    if abs(len(a) - len(b)) > 1:
+        return False
+    start, end = 0, min(len(a), len(b))
+    while start < end and a[start] == b[start]:
+        start += 1
+    tail = 0
+    while tail < end - start and a[-1 - tail] == b[-1 - tail]:
+        tail += 1
+    x, y = a[start : len(a) - tail], b[start : len(b) - tail]
+    # They differ at both ends: one loses its first, the other its last character.
+    return (len(x) <= 1 and len(y) <= 1) or x[1:] == y[:-1] or x[:-1] == y[1:]
 
 
 def slips(a: str, b: str) -> int:
@@ -262,14 +277,10 @@ class Directory:
         self.forms = {form: next(iter(names)) for form, names in forms.items() if len(names) == 1}
         self.known: dict[str, str | None] = {}
 
-    @functools.cached_property
-    def near(self) -> dict[str, str]:
-        """Names by every form that lacks one character at most; worked out when a label first needs it."""
-        full: dict[str, set[str]] = {}
-        for form, name in self._whole:
-            for cut in _shorter(form) | {form}:
-                full.setdefault(cut, set()).add(name)
-        return {form: next(iter(names)) for form, names in full.items() if len(names) == 1}
+    def near(self, form: str) -> str | None:
+        """The one person with a form that is this one but for one character lost in either or both."""
+        names = {name for other, name in self._whole if one_lost(form, other)}
+        return names.pop() if len(names) == 1 else None
 
     def name(self, label: str) -> str | None:
         if label not in self.known:
@@ -277,6 +288,12 @@ class Directory:
         return self.known[label]
 
     def _name(self, label: str) -> str | None:
+        # Most labels are a form as it stands.
+        plain = fold(label)
+        if plain == "operator":
+            return OPERATOR
+        if plain in self.forms:
+            return self.forms[plain]
         label = "".join(p if isinstance(p, str) else p.text() if p.parts[0] == "(" else " " for p in peg.annotated(FLAT.sub(" ", label)).parts).strip(" *>#\t")
         label = re.sub(r"^(?:[QA] ?- ?|>> ?)", "", label)
         label = label.split(" -- ")[0].split(" – ")[0].split(" — ")[0]
@@ -335,23 +352,26 @@ class Directory:
             if plain in self.forms:
                 return self.forms[plain]
         if len(folded) >= 5:
-            hits = {self.near[cut] for cut in _shorter(folded) | {folded} if cut in self.near}
-            if len(hits) == 1:
-                return next(iter(hits))
-            lost = re.sub(r"[?�]", "", folded)
-            hits = {self.near[cut] for cut in _shorter(lost) if cut in self.near}
-            if len(hits) == 1:
-                return next(iter(hits))
+            if found := self.near(folded):
+                return found
+            if "?" in folded or "�" in folded:
+                return self.near(re.sub(r"[?�]", "", folded))
         return None
 
 
 def clean(speech: str) -> str:
-    """Speech without annotations, stamps and hesitation, in one line."""
+    """Speech without annotations, stamps and hesitation, in one line. Each step runs only where its plainest sign occurs."""
     speech = without_list(speech)
-    if _NOTED.search(speech):
+    low = speech.lower()
+    if any(sign in low for sign in _NOTE_SIGNS):
         speech = _NOTE.sub("", speech)
-    speech = " ".join(_FILLER.sub(" ", unannotated(_STAMPS.sub("", speech))).split())
-    return re.sub(r" ([,.;:?!])", r"\1", speech).strip(" -–—")
+    if ":" in speech:
+        speech = _STAMPS.sub("", speech)
+    speech = unannotated(speech)
+    spaced = b" %b " % low.encode("ascii", "replace").translate(_SPACES)
+    if any(sign in spaced for sign in _SOUND_SIGNS):
+        speech = _FILLER.sub(" ", speech)
+    return _SPACED.sub(r"\1", " ".join(speech.split())).strip(" -–—")
 
 
 def assemble(people: Directory, labels: list[str | None], speech: list[str]) -> list[tuple[str, str]]:
