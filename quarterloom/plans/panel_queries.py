@@ -11,6 +11,7 @@ from quarterloom.functions.scalars import clip, contains_query, escape_html, p_b
 from quarterloom.operators import panel as P
 from quarterloom.operators import stats as S
 from quarterloom.operators.timestamps import with_norm
+from quarterloom.plans import fit_sql as Q
 from quarterloom.plans import pipelines as L
 from quarterloom.sources import more, table
 from quarterloom.sources.lexicons import loaded_lexicons
@@ -120,7 +121,8 @@ def a6_pearson(spark, folder):
 
 def a6_correlations(spark, folder):
     """Pearson and Spearman with p-values, mean and median, by ticker."""
-    return S.correlations(_sample(spark, folder), "ticker", "density", "growth_w", "eps_ttm_growth_next_q")
+    rows = S.correlations(_sample(spark, folder), "ticker", "density", "growth_w", "eps_ttm_growth_next_q")
+    return rows.select("ticker", "n_quarters", *(_r(c).alias(c) for c in ("pearson_r", "pearson_p", "spearman_rho", "spearman_p", "mean_growth", "median_growth")))
 
 
 def a7_spearman(spark, folder):
@@ -157,21 +159,35 @@ def a13_by_sector(spark, folder):
     return rows.select("sector", "n", "tickers", _r("beta_pp").alias("beta_pp"), _r("t").alias("t"))
 
 
+def _rounded(fit: DataFrame) -> DataFrame:
+    return fit.withColumns({c: _r(c) for c in ("coef", "se", "t", "p", "r2_within") if c in fit.columns})
+
+
 def a14_two_way(spark, folder):
     fit = S.fe_fit(nations(spark, folder), "y", ["x"], "ticker", "q")
     return fit.select("n", "entities", F.round(F.col("coef") * 1e6, 5).alias("coef_e6"), F.round(F.col("se") * 1e6, 5).alias("se_e6"))
 
 
 def a14_two_way_unbalanced(spark, folder):
-    return S.fe_fit(_zs(spark, folder), "growth_w", ["density_z"], "ticker", "datacqtr")
+    return _rounded(S.fe_fit(_zs(spark, folder), "growth_w", ["density_z"], "ticker", "datacqtr"))
 
 
 def a15_controls(spark, folder):
-    return L.control_fits(_zs(spark, folder))
+    """Each control beside the density, then all jointly, with entity effects."""
+    return _rounded(L.control_fits(_zs(spark, folder)))
+
+
+def a15_controls_two_way(spark, folder):
+    """The same with both effects."""
+    return _rounded(L.control_fits(_zs(spark, folder), "datacqtr"))
 
 
 def a15_momentum(spark, folder):
-    return L.momentum_fit(_zs(spark, folder))
+    return _rounded(L.momentum_fit(_zs(spark, folder)))
+
+
+def a15_momentum_two_way(spark, folder):
+    return _rounded(L.momentum_fit(_zs(spark, folder), "datacqtr"))
 
 
 def a16_within_r2(spark, folder):
@@ -381,7 +397,7 @@ def s8_inspect(spark, folder):
 
 
 def a14_robustness(spark, folder):
-    return L.robustness(panel(spark, folder), _LEAST)
+    return _rounded(L.robustness(panel(spark, folder), _LEAST))
 
 
 _PANEL = "panel as (select * from (select *, row_number() over (partition by ticker, year, quarter order by feature_id) as rn, year::bigint * 4 + quarter - 1 as q from tech_uncertainty_features where ticker is not null and year is not null and quarter is not null) where rn = 1)"
@@ -394,8 +410,44 @@ _LATEST = f"{_SEC}, h as (select *, row_number() over (partition by ticker order
 _WEB = f"{_SEC}, e as (select quantile_cont(eps_ttm_growth_next_q, 0.01) as lo, quantile_cont(eps_ttm_growth_next_q, 0.99) as hi from sec), w as (select sec.*, case when eps_ttm_growth_next_q is not null then greatest(lo, least(hi, eps_ttm_growth_next_q)) end as eps_w, round(density, 2) as d2 from sec, e), r as (select *, row_number() over (partition by ticker order by q desc) as back from w), p as (select ticker, avg(d2) filter (where back > 1) as mu, stddev_pop(d2) filter (where back > 1) as sd, count(*) as n, max_by(company, q) filter (where company is not null) as name, max_by(d2, q) as last_d, count(eps_w) as np, case when stddev_pop(density) filter (where eps_w is not null) = 0 or stddev_pop(eps_w) = 0 then null else corr(density, eps_w) end as c, max_by('Q' || quarter || ' ''' || lpad((year % 100)::varchar, 2, '0'), q) as lbl from r group by ticker), web as (select ticker, name, n as n_quarters, case when np >= 12 then round(c, 2) end as r, lbl as \"latestLabel\", case when n > 12 and sd > 0 then round((last_d - mu) / sd, 2) end as \"latestZ\" from p)"
 _NAT = "nat as (select n_name as ticker, (year(o_orderdate) * 4 + quarter(o_orderdate) - 1)::bigint as q, sum(o_totalprice) as x, count(*)::double as y from orders join customer on o_custkey = c_custkey join nation on c_nationkey = n_nationkey group by all)"
 
+_CTRL = f"{_Z}, c0 as (select *, " + ", ".join(f"({c}_density_qa - avg({c}_density_qa) over (partition by ticker)) / nullif(stddev_pop({c}_density_qa) over (partition by ticker), 0) as {c}_z" for c in L.CONTROLS) + " from zs), ctrl as (select * from c0 where " + " and ".join(f"{c}_z is not null" for c in L.CONTROLS) + ")"
+_MOM = f"{_CTRL}, mo as (select *, case when q - lag(q) over w = 1 then density_z - lag(density_z) over w end as momentum from ctrl window w as (partition by ticker order by q))"
+_MODELS = {c: ["density_z", f"{c}_z"] for c in L.CONTROLS} | {"joint": ["density_z", *(f"{c}_z" for c in L.CONTROLS)]}
+_ROUND = ", ".join(f"round({c}, 6) as {c}" for c in ("coef", "se", "t", "p", "r2_within"))
+_ROBUST = f"{_SEC}, z0 as (select *, (density - avg(density) over (partition by ticker)) / nullif(stddev_pop(density) over (partition by ticker), 0) as density_z, (eps_ttm_next_q - eps_ttm) / nullif(abs(eps_ttm) / 4, 0) * 100 as yoy from sec), z1 as (select * from z0 where density_z is not null), " + ", ".join(f"e{k} as (select quantile_cont({o}, 0.01) as lo, quantile_cont({o}, 0.99) as hi from z1), w{k} as (select z1.*, greatest(lo, least(hi, {o})) as out_w from z1, e{k} where {o} is not null)" for k, o in enumerate(("eps_ttm_growth_next_q", "yoy")))
+
+
+def _controls_sql(time: str | None) -> str:
+    fits = ", ".join(Q.fit(f"f_{name}", "ctrl", "growth_w", xs, "ticker", time) for name, xs in _MODELS.items())
+    return f"with recursive {_CTRL}, {fits} " + " union all ".join(f"select '{name}' as controls, term, n, entities, {_ROUND} from f_{name}" for name in _MODELS)
+
+
+def _robust_sql() -> str:
+    fits, ends = [], []
+    for k, o in enumerate(("eps_ttm_growth_next_q", "yoy")):
+        for spec, time in (("entity", None), ("entity+time", "datacqtr")):
+            name = f"f{k}{'t' if time else ''}"
+            fits.append(Q.fit(name, f"w{k}", "out_w", ["density_z"], "ticker", time))
+            ends.append(f"select '{o}' as outcome, '{spec}' as spec, n, {_ROUND} from {name}")
+    return f"with recursive {_ROBUST}, {', '.join(fits)} " + " union all ".join(ends)
+
+
+_X7 = (
+    f"with recursive {_Z}, {Q.fit('f1', 'zs', 'growth_w', ['density_z'], 'ticker')}, {Q.fit('f2', 'zs', 'growth_w', ['density_z'], 'ticker', 'datacqtr')}, h as (select f1.n, round(f2.coef, 2) as lo, round(f1.coef, 2) as hi, f2.p from f1, f2) "
+    "select n, printf('%.2f', least(abs(lo), abs(hi)) * sign(lo)) || ' to ' || printf('%.2f', greatest(abs(lo), abs(hi)) * sign(hi)) as range, case when p < 0.001 then '< 0.001' when p < 0.01 then '< 0.01' when p < 0.02 then '< 0.02' when p < 0.05 then '< 0.05' else '= ' || printf('%.2f', p) end as p from h"
+)
+
 QUERIES = {name: f for name, f in globals().items() if re.match(r"(?:pr|[ajkosuwx])\d+_", name)}
 ORACLE = {
+    "pr15_rounded": f"with {_PANEL} select feature_id, printf('%.2f', uncertainty_density_qa)::double as density_2 from panel",
+    "a6_correlations": f"with {_GRO}, rk as (select *, rank() over (partition by ticker order by density) + (count(*) over (partition by ticker, density) - 1) / 2.0 as rx, rank() over (partition by ticker order by eps_ttm_growth_next_q) + (count(*) over (partition by ticker, eps_ttm_growth_next_q) - 1) / 2.0 as ry from gro where density is not null), c as (select ticker, count(*) as n, {_CORR.format('density', 'growth_w')} as r, {_CORR.format('rx', 'ry')} as rho, avg(eps_ttm_growth_next_q) as m, quantile_cont(eps_ttm_growth_next_q, 0.5) as med from rk group by ticker having count(*) >= 12) select ticker, n as n_quarters, round(r, 6) as pearson_r, round({Q.correlation_tail('r', 'n')}, 6) as pearson_p, round(rho, 6) as spearman_rho, round({Q.correlation_tail('rho', 'n')}, 6) as spearman_p, round(m, 6) as mean_growth, round(med, 6) as median_growth from c",
+    "a14_two_way_unbalanced": f"with recursive {_Z}, {Q.fit('f', 'zs', 'growth_w', ['density_z'], 'ticker', 'datacqtr')} select term, n, entities, {_ROUND} from f",
+    "a15_controls": _controls_sql(None),
+    "a15_controls_two_way": _controls_sql("datacqtr"),
+    "a15_momentum": f"with recursive {_MOM}, {Q.fit('f', 'mo', 'growth_w', ['density_z', 'momentum'], 'ticker')} select term, n, entities, {_ROUND} from f",
+    "a15_momentum_two_way": f"with recursive {_MOM}, {Q.fit('f', 'mo', 'growth_w', ['density_z', 'momentum'], 'ticker', 'datacqtr')} select term, n, entities, {_ROUND} from f",
+    "a14_robustness": _robust_sql(),
+    "x7_header": _X7,
     "pr1_universe": "select feature_id, ticker, sector from tech_uncertainty_features where coalesce(sector in ('Information Technology', 'Energy'), false) or coalesce(ticker in ('ZANNO', 'ZJJMT'), false)",
     "pr2_keys_present": "select corpus_id, year::bigint as year, quarter::bigint as quarter from corpus where ticker is not null and year is not null and quarter is not null",
     "pr6_sample": f"with {_GRO} select feature_id, ticker, total_tokens_qa from gro",
