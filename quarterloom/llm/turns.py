@@ -33,7 +33,7 @@ OPERATOR, UNIDENTIFIED = "Operator", "Unidentified Analyst"
 #: How far on, in seconds, a text must be for a stamp like its first to mean that it starts over.
 RESTART = 90
 #: People of a directory up to which it goes to every task, and tickers whose forms of names a task keeps.
-PEOPLE_SENT, KEPT = 300_000, 2000
+PEOPLE_SENT, KEPT = 100_000, 2000
 _TURNS = "recent_id bigint, turn_no bigint, speaker string, text string"
 # Sounds and fillers of hesitation, headings, notes that close a transcript, short forms of titles.
 SOUNDS = r"um+|uh+m?|uhm+|er+m?|ah+|h?mm+|mhm|hm+"
