@@ -32,6 +32,11 @@ def strip(text: Column | str) -> Column:
     return F.regexp_replace(_col(text), r"^\s+|\s+$", "")
 
 
+def tomorrow() -> Column:
+    """The day after today, up to which prices are asked for."""
+    return F.date_add(F.current_date(), 1)
+
+
 def clip(value: Column | str, low: Column | str, high: Column | str) -> Column:
     """Into [low, high]; null stays null."""
     value = _col(value)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from quarterloom.plans import market_queries, panel_queries, text_queries, time_queries
+from quarterloom.plans import io_queries, market_queries, panel_queries, text_queries, time_queries
 
-_MODULES = (text_queries, panel_queries, market_queries, time_queries)
+_MODULES = (text_queries, panel_queries, market_queries, time_queries, io_queries)
 
 
 def queries() -> dict:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import json
-import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,10 +19,17 @@ def price_rows(responses: DataFrame, ticker: str = "ticker", body: str = "body")
     return listed.where("date is not null").select(ticker, "date", F.col("price").alias("close"))
 
 
-def fetched_prices(spark: SparkSession, tickers: list[str], fetch: Callable[[str], str]) -> DataFrame:
-    """The pluggable reader behind S4: ``fetch`` returns a ticker's response; tickers without one are left out."""
-    bodies = [(t, body) for t in tickers if (body := fetch(t))]
-    return price_rows(spark.createDataFrame(bodies, "ticker string, body string"))
+def fetched_prices(spark: SparkSession, tickers: list[str], fetch: Callable[[str], str], tasks: int = 16) -> DataFrame:
+    """The pluggable reader behind S4: ``fetch`` returns a ticker's response, in the tasks and not on the driver; tickers without
+    one are left out. ``tasks`` bounds how many ask at once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bodies = [(t, body) for t in batch.column("ticker").to_pylist() if (body := fetch(t))]
+            yield pa.RecordBatch.from_arrays([pa.array([t for t, _ in bodies], pa.string()), pa.array([b for _, b in bodies], pa.string())], names=["ticker", "body"])
+
+    wanted = spark.createDataFrame([(t,) for t in tickers], "ticker string").repartition(min(tasks, max(1, len(tickers))))
+    return price_rows(wanted.mapInArrow(run, "ticker string, body string"))
 
 
 def raw_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -54,22 +61,33 @@ def write_csv(df: DataFrame, path: str, order: list) -> None:
     df.orderBy(*order).coalesce(1).write.mode("overwrite").option("header", "true").csv(path)
 
 
+def put_text(path: str, text: str) -> None:
+    """One small file on whatever file system the path names."""
+    spark = SparkSession.active()
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = place.getFileSystem(spark._jsc.hadoopConfiguration()).create(place, True)
+    try:
+        out.write(bytearray(text, "utf-8"))
+    finally:
+        out.close()
+
+
+def get_text(path: str) -> str:
+    return SparkSession.active().read.text(path, wholetext=True).first()[0]
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """K4: a one-row report as an indented document."""
     row = df.first()
-    with open(path, "w", encoding="utf-8") as file:
-        json.dump(row.asDict(recursive=True) if row else {}, file, indent=2)
+    put_text(path, json.dumps(row.asDict(recursive=True) if row else {}, indent=2))
 
 
 def write_page(document: str, template: str, out: str) -> None:
     """Puts a JSON document into a page; a template without the place for it is refused."""
-    with open(template, encoding="utf-8") as file:
-        page = file.read()
+    page = get_text(template)
     if PLACE not in page:
         raise ValueError(f"{template} lacks {PLACE}")
-    os.makedirs(os.path.dirname(out) or ".", exist_ok=True)
-    with open(out, "w", encoding="utf-8") as file:
-        file.write(page.replace(PLACE, document.replace("</", "<\\/")))
+    put_text(out, page.replace(PLACE, document.replace("</", "<\\/")))
 
 
 def report(lines: list[str], path: str | None = None) -> str:
@@ -77,8 +95,7 @@ def report(lines: list[str], path: str | None = None) -> str:
     text = "\n".join(lines)
     print(text)
     if path:
-        with open(path, "w", encoding="utf-8") as file:
-            file.write(text + "\n")
+        put_text(path, text + "\n")
     return text
 
 

@@ -35,9 +35,9 @@ def test_returns_of_days_in_any_notation(spark, tmp_path):
     spark.createDataFrame(prices, "ticker string, date string, close double, fetched_at string, price_id int").write.parquet(str(tmp_path / "prices.parquet"))
     want = round((106 / 101 - 1) * 100, 6)
     folder = str(tmp_path)
-    assert sorted(tuple(r) for r in M.j6_forward_return_all(spark, folder).collect()) == [(k, want) for k in range(7)]
-    assert sorted(tuple(r) for r in M.j7_two_horizons_all(spark, folder).collect()) == [(k, want, None) for k in range(7)]
-    assert sorted(tuple(r) for r in M.j1_outcomes_and_density_all(spark, folder).collect()) == [(f"T{k}", "2024Q1", want, 1.0) for k in range(7)]
+    assert sorted(tuple(r) for r in M.j6_forward_return(spark, folder).collect()) == [(k, want) for k in range(7)]
+    assert sorted(tuple(r) for r in M.j7_two_horizons(spark, folder).collect()) == [(k, want, None) for k in range(7)]
+    assert sorted(tuple(r) for r in M.j1_outcomes_and_density(spark, folder).collect()) == [(f"T{k}", "2024Q1", want, 1.0) for k in range(7)]
 
 
 def test_price_drift_has_both_horizons_and_specifications(spark, small):

@@ -45,7 +45,7 @@ def test_universe_and_sample(spark):
 def test_keep_best_and_longest(spark):
     rows = [(1, "A", 2020, 1, "xx"), (2, "A", 2020, 1, "xxx"), (3, "A", 2020, 1, "yyy"), (4, None, 2020, 1, "z"), (5, "B", 2020, 1, None)]
     df = spark.createDataFrame(rows, "id bigint, ticker string, year int, quarter int, text string")
-    assert sorted(r.id for r in P.longest_text(df, ["ticker", "year", "quarter"], "text", "id").collect()) == [2, 5]
+    assert sorted((r.id, r.n_chars) for r in P.longest_text(df, ["ticker", "year", "quarter"], "text", "id").collect()) == [(2, 3), (5, None)]
     assert sorted(r.id for r in P.keep_best(df, ["ticker", "year", "quarter"], [-F.col("id")]).collect()) == [1, 5]
     assert P.keep_best(df.limit(0), ["ticker"], [F.col("id")]).count() == 0
 
