@@ -175,3 +175,16 @@ def test_islands_and_ticks(spark):
     got = [r.segment for r in P.segments(df, "v").orderBy("year", "quarter").collect()]
     assert got == [0, 0, None, 1, 1, None, 2, 2, 2]
     assert P.thinned(df).count() == 5
+
+
+def test_quantiles_are_exact_at_any_size(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 7, 400, 20_000):
+        for values in (rng.normal(size=n), rng.integers(0, 5, n).astype(float), np.concatenate([np.zeros(n - n // 3), rng.normal(size=n // 3)])):
+            df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+            got = P.bounds(df, "v").first()
+            assert np.allclose([got.low, got.high], np.quantile(values, [0.01, 0.99]), rtol=0, atol=1e-12), n
+    assert P.bounds(df.limit(0), "v").count() == 0
+    assert P.winsorize(df.where("v is null"), "v", "w").first().w is None
