@@ -35,7 +35,9 @@ BUCKETS = 8192
 SAMPLE, SENTENCES = 250, 3
 #: A sentence counts for a language of its own from so many letters and this confidence on.
 LETTERS, CERTAIN = 18, 0.9
-_SPLIT = re.compile(r"\n+|(?<=[。！？])|(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"'“‘«(¿¡]*[^\W_a-zß-ÿ])")
+# Begins with a character class: the matcher skips to the few places where a sentence can end.
+_SPLIT = re.compile(r"[.!?…\n。！？](?:(?<=\n)\n*|(?<=[。！？])|(?<=[.!?…])[\"'”’»)\]]*\s+(?=[\"'“‘«(¿¡]*[^\W_a-zß-ÿ]))")
+_BLANKS = {c: " " for c in range(128) if not chr(c).isalpha()}
 _SHORT = re.compile(r"(?:\b(?:Mio|Mrd|Inc|Ltd|Co|Corp|Nr|No|Mr|Mrs|Ms|Dr|St|bzw|vs|ca|approx|[A-Z])\.)\s*$")
 _SPEAKER = re.compile(r"^\s*(?:Analyst|Company|Operator|Q|A)\s*:\s*")
 _KANA = re.compile(r"[぀-ヿ㐀-鿿ｦ-ﾟ]")
@@ -70,6 +72,8 @@ def sentences(text: str) -> list[str]:
 
 def normal(sentence: str) -> str:
     """Lower-case letters and single blanks, a blank at either end."""
+    if sentence.isascii():
+        return f" {' '.join(sentence.lower().translate(_BLANKS).split())} "
     return " " + re.sub(r"[\W\d_]+", " ", sentence.lower()).strip() + " "
 
 
