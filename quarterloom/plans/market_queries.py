@@ -66,7 +66,7 @@ def j1_outcomes_and_density(spark, folder):
 def a14_price_drift(spark, folder):
     """Returns over both horizons on density, each with entity effects and with both, of every call with a meaningful day."""
     fit = L.price_drifts(_outcomes(spark, folder), panel(spark, folder), least_tokens=300)
-    return fit.withColumns({c: _r(c) for c in ("coef", "se", "t", "p", "r2_within")})
+    return fit.withColumns({c: F.round(c, 4) for c in ("coef", "se", "t", "p", "r2_within")})
 
 
 def s4_price_json(spark, folder):
@@ -108,7 +108,7 @@ def _drift_sql() -> str:
         for spec, time in (("entity", None), ("entity+time", "datacqtr")):
             name = f"f_{h}{'_t' if time else ''}"
             parts.append(Q.fit(name, f"w_{h}", "ret_w", ["density_z"], "ticker", time))
-            ends.append(f"select '{h}' as outcome, '{spec}' as spec, n, " + ", ".join(f"round({c}, 6) as {c}" for c in ("coef", "se", "t", "p", "r2_within")) + f" from {name}")
+            ends.append(f"select '{h}' as outcome, '{spec}' as spec, n, " + ", ".join(f"round({c}, 4) as {c}" for c in ("coef", "se", "t", "p", "r2_within")) + f" from {name}")
     raw = _OUT.replace("round((c5 / s.close - 1) * 100, 6)", "(c5 / s.close - 1) * 100").replace("round((c63 / s.close - 1) * 100, 6)", "(c63 / s.close - 1) * 100").replace(", o as (", ", o_raw as (")
     return f"with recursive {raw}, {', '.join(parts)} " + " union all ".join(ends)
 

@@ -160,7 +160,7 @@ def a13_by_sector(spark, folder):
 
 
 def _rounded(fit: DataFrame) -> DataFrame:
-    return fit.withColumns({c: _r(c) for c in ("coef", "se", "t", "p", "r2_within") if c in fit.columns})
+    return fit.withColumns({c: F.round(c, 4) for c in ("coef", "se", "t", "p", "r2_within") if c in fit.columns})
 
 
 def a14_two_way(spark, folder):
@@ -413,7 +413,7 @@ _NAT = "nat as (select n_name as ticker, (year(o_orderdate) * 4 + quarter(o_orde
 _CTRL = f"{_Z}, c0 as (select *, " + ", ".join(f"({c}_density_qa - avg({c}_density_qa) over (partition by ticker)) / nullif(stddev_pop({c}_density_qa) over (partition by ticker), 0) as {c}_z" for c in L.CONTROLS) + " from zs), ctrl as (select * from c0 where " + " and ".join(f"{c}_z is not null" for c in L.CONTROLS) + ")"
 _MOM = f"{_CTRL}, mo as (select *, case when q - lag(q) over w = 1 then density_z - lag(density_z) over w end as momentum from ctrl window w as (partition by ticker order by q))"
 _MODELS = {c: ["density_z", f"{c}_z"] for c in L.CONTROLS} | {"joint": ["density_z", *(f"{c}_z" for c in L.CONTROLS)]}
-_ROUND = ", ".join(f"round({c}, 6) as {c}" for c in ("coef", "se", "t", "p", "r2_within"))
+_ROUND = ", ".join(f"round({c}, 4) as {c}" for c in ("coef", "se", "t", "p", "r2_within"))
 _ROBUST = f"{_SEC}, z0 as (select *, (density - avg(density) over (partition by ticker)) / nullif(stddev_pop(density) over (partition by ticker), 0) as density_z, (eps_ttm_next_q - eps_ttm) / nullif(abs(eps_ttm) / 4, 0) * 100 as yoy from sec), z1 as (select * from z0 where density_z is not null), " + ", ".join(f"e{k} as (select quantile_cont({o}, 0.01) as lo, quantile_cont({o}, 0.99) as hi from z1), w{k} as (select z1.*, greatest(lo, least(hi, {o})) as out_w from z1, e{k} where {o} is not null)" for k, o in enumerate(("eps_ttm_growth_next_q", "yoy")))
 
 
