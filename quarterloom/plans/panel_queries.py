@@ -469,7 +469,7 @@ ORACLE = {
     "a12_calibration": f"with {_PANEL} select regr_count(negative_density_qa, uncertainty_density_qa) as n, round(regr_slope(negative_density_qa, uncertainty_density_qa), 6) as slope, round(regr_intercept(negative_density_qa, uncertainty_density_qa), 6) as intercept, round(corr(negative_density_qa, uncertainty_density_qa), 6) as corr from panel",
     "a13_one_way": f"with {_Z}, {_FIT.format(by='', cby='', x='density_z', y='growth_w', src='zs', on='on true')} select n::bigint as n, g::bigint as entities, round(beta, 6) as beta, round(se, 6) as se, round(beta / se, 6) as t from done",
     "a13_by_sector": f"with {_SEC}, b as (select * from sec where eps_ttm_growth_next_q is not null and sector is not null), e as (select sector, quantile_cont(eps_ttm_growth_next_q, 0.01) as lo, quantile_cont(eps_ttm_growth_next_q, 0.99) as hi from b group by sector), g as (select b.*, greatest(lo, least(hi, eps_ttm_growth_next_q)) as growth_w, (density - avg(density) over (partition by ticker)) / nullif(stddev_pop(density) over (partition by ticker), 0) as density_z from b join e using (sector)), zs as (select * from g where density_z is not null), {_FIT.format(by='sector,', cby='cells.sector,', x='density_z', y='growth_w', src='zs', on='on cells.sector = fit.sector')} select sector, n::bigint as n, g::bigint as tickers, round(beta, 6) as beta_pp, round(beta / se, 6) as t from done where n >= 20 and g >= 2",
-    "a14_two_way": f"with {_NAT}, d as (select ticker, q, x - avg(x) over (partition by ticker) - avg(x) over (partition by q) + avg(x) over () as x, y - avg(y) over (partition by ticker) - avg(y) over (partition by q) + avg(y) over () as y from nat), k as (select count(distinct ticker)::double as g, count(distinct q)::double as t, count(*)::double as n, sum(x * y) / sum(x * x) as beta, sum(x * x) as sxx from d), m as (select sum(s * s) as m from (select ticker, sum(x * (y - beta * x)) as s from d, k group by ticker)) select n::bigint as n, g::bigint as entities, round(beta * 1e6, 5) as coef_e6, round(sqrt(g / (g - 1) * (n - 1) / (n - (1 + g + t - 1)) * m) / sxx * 1e6, 5) as se_e6 from k, m",
+    "a14_two_way": f"with recursive {_NAT}, {Q.fit('f', 'nat', 'y', ['x'], 'ticker', 'q')} select n, entities, round(coef * 1e6, 5) as coef_e6, round(se * 1e6, 5) as se_e6 from f",
     "a16_within_r2": f"with {_Z}, c as (select ticker, covar_pop(density_z, growth_w) * count(*) as xy, var_pop(density_z) * count(*) as xx, var_pop(growth_w) * count(*) as yy from zs group by ticker) select round(sum(xy) * sum(xy) / (sum(xx) * sum(yy)), 8) as r2_within from c",
     "a17_control_correlations": f"with {_Z}, c as (select density_z, "
     + ", ".join(f"({c}_density_qa - avg({c}_density_qa) over (partition by ticker)) / nullif(stddev_pop({c}_density_qa) over (partition by ticker), 0) as {c}_z" for c in L.CONTROLS)
